@@ -1,32 +1,38 @@
-"""Byte-level BPE through the tokenizers library, word units cached.
+"""Byte-level BPE through the tokenizers library, pieces cached.
 
-The library's pre-tokenizer never lets a token reach from a character that is
-no white space over a space after it, and takes at most one space in front of a
+The library's pre-tokenizer never lets a token reach from a character that is no
+white space over a space after it, and takes at most one space in front of a
 word.  Where no piece between two spaces is empty or has white space at its
 ends, the ids of a text are therefore the joined ids of its pieces, each with
-its space.  Pieces recur, so every worker keeps their ids and the library
-encodes what is new; all other texts go to the library whole.  Letters followed
-by plain punctuation are two tokens at least, so both parts are kept by
-themselves.
+its space.  Pieces recur, so every worker keeps their ids.  New pieces are
+encoded by the library as one text, whose ids are dealt to the pieces by their
+bytes: every id stands for a known number of bytes.  All other texts go to the
+library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-#: A word with its punctuation; the letters are those of ASCII and Latin-1, all of them \p{L}.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-#: Units kept by a worker, and the longest unit that is kept; together they bound its memory.
-MAX_UNITS = 1_200_000
-MAX_UNIT_CHARS = 48
+#: Pieces kept by a worker, and the longest piece that is kept; together they bound its memory.
+MAX_PIECES = 1_600_000
+MAX_PIECE_CHARS = 48
 #: What one definition of white space or another counts besides str.isspace().
-ODD = "\u180e\u200b\u2060\ufeff"
+ODD = "᠎​⁠﻿"
+#: Punctuation that ends words; none of it takes part in a contraction.
+END = ".,!?;:"
+#: Stands for the first piece of a text, which has no space before it; no piece holds a space.
+HEAD = " "
 _encoders: dict[str, Encoder] = {}
 
 
+def ragged(piece: str) -> bool:
+    """Whether white space, by any definition, is all there is or at an end."""
+    return not piece or piece[0].isspace() or piece[-1].isspace() or piece[0] in ODD or piece[-1] in ODD
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -34,67 +40,83 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         pre = self.tokenizer.pre_tokenizer
-        self.by_unit = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tokenizer.normalizer is None
+        self.by_piece = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tokenizer.normalizer is None
         self.vocab = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab <= 1 << 16 else np.dtype("<u4")
-        #: Ids of " " + piece; None where a piece has white space at its ends.
-        self.units: dict[str, bytes | None] = {}
-        self.stems: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {"": b""}
+        self.lengths = np.zeros(self.vocab, np.int64)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.lengths[k] = len(token)  # a character of a token stands for a byte
+        #: Ids of " " + piece; False where the piece is ragged.
+        self.known: dict[str, bytes | bool] = {HEAD: b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes | None]:
-        out: dict[str, bytes | None] = {}
-        split = {p: m.groups() for p in pieces if (m := _WORD.fullmatch(p))}
-        ends = [e for e in {e for _, e in split.values()} if e not in self.ends]
-        if len(self.ends) + len(ends) > MAX_UNITS:
-            self.ends = {"": b""}
-            ends = [e for e in {e for _, e in split.values()} if e]
-        self.ends.update(zip(ends, self.whole(ends), strict=True))
-        stems = {s for s, _ in split.values()}
-        if len(self.stems) + len(stems) > MAX_UNITS:
-            self.stems.clear()
-        new = [s for s in stems if s not in self.stems]
-        self.stems.update(zip(new, self.whole([" " + s for s in new]), strict=True))
-        for p, (s, e) in split.items():
-            out[p] = self.stems[s] + self.ends[e]
-        rest = []
+    def _learn(self, pieces: set[str]) -> dict[str, bytes | bool]:
+        out: dict[str, bytes | bool] = {p: False for p in pieces if ragged(p)}
+        ended: list[str] = []  # a letter and one more character: never one token, so what stands before may be known
+        rest: set[str] = set()
         for p in pieces:
-            if p in split:
+            if p in out:
                 continue
-            if not p or p[0].isspace() or p[-1].isspace() or not p[0].strip(ODD) or not p[-1].strip(ODD):
-                out[p] = None
-            else:
-                rest.append(p)
-        out.update(zip(rest, self.whole([" " + p for p in rest]), strict=True))
+            if p[-1] in END and p[-2:-1].isalpha():
+                ended.append(p)
+                p = p[:-1]
+                if p in self.known:
+                    continue
+            rest.add(p)
+        out.update(self._encode(list(rest)))
+        ends = dict(zip(END, self.whole(list(END)), strict=True))
+        for p in ended:
+            stem = p[:-1]
+            out[p] = (out.get(stem) or self.known[stem]) + ends[p[-1]]  # type: ignore[operator]
+        return out
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of " " + piece for pieces that aren't ragged."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(pieces), 5000):
+            some = pieces[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + p for p in some])], add_special_tokens=False)[0].ids, self.dtype)
+            bounds = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in some])
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), bounds) + 1
+            raw, size, begin = ids.tobytes(), self.dtype.itemsize, 0
+            for p, end in zip(some, (ends * size).tolist(), strict=True):
+                out[p] = raw[begin:end]
+                begin = end
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
-        if not self.by_unit:
+        if not self.by_piece:
             return self.whole(texts)
-        split = [text.split(" ") for text in texts]
-        known = self.units
-        missing = {p for pieces in split for p in pieces[1:] if p not in known}
-        if missing:
-            if len(known) + len(missing) > MAX_UNITS:
-                known.clear()
-                missing = {p for pieces in split for p in pieces[1:]}
-            known.update(self._learn(missing))
-        firsts = self.whole([pieces[0] for pieces in split])
+        get, split, found = self.known.get, [], []
+        heads: list[str] = []
+        missing: set[str] = set()
+        for text in texts:
+            pieces = text.split(" ")
+            heads.append(pieces[0])
+            pieces[0] = HEAD
+            ids = list(map(get, pieces))
+            if None in ids:
+                missing.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
+            split.append(pieces)
+            found.append(ids)
+        learnt = self._learn(missing)
         out: list[bytes] = []
-        for text, pieces, first in zip(texts, split, firsts, strict=True):
-            head = pieces[0]
-            ids = list(map(known.__getitem__, pieces[1:]))
-            if None in ids or not head or head[0].isspace() or head[-1].isspace() or not head[-1].strip(ODD):
-                out.append(self.whole([text])[0])  # white space that isn't a lone space between words
-            else:
-                out.append(first + b"".join(ids))  # type: ignore[arg-type]
-        for p in missing:
-            if len(p) > MAX_UNIT_CHARS:
-                del known[p]
+        for text, head, first, pieces, ids in zip(texts, heads, self.whole(heads), split, found, strict=True):
+            if None in ids:
+                ids = [learnt[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
+            try:
+                if ragged(head) and text:
+                    raise TypeError
+                out.append(first + b"".join(ids))
+            except TypeError:  # white space that isn't a lone space between words
+                out.append(self.whole([text])[0])
+        if len(self.known) + len(learnt) > MAX_PIECES:
+            self.known.clear()
+            self.known[HEAD] = b""
+        self.known.update((p, x) for p, x in learnt.items() if len(p) <= MAX_PIECE_CHARS)
         return out
 
 

@@ -110,7 +110,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
     share = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), share.alias("at"))
-    sample = rows.join(sizes, "lang").where(F.col("at") * F.col("n") < sample_rows).select("lang", "text")
+    # a row for each language, less than the model that follows has for each
+    sample = rows.join(F.broadcast(sizes), "lang").where(F.col("at") * F.col("n") < sample_rows).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}

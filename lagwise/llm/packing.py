@@ -95,5 +95,5 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col
                     at += length
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [x.split()[0] for x in PIECES.split(", ")])
 
-    placed = rows.join(offsets, "part")
+    placed = rows.join(F.broadcast(offsets), "part")  # bounded: two numbers for each partition of the input
     return placed.select("doc_id", (F.col("base") + F.col("local")).alias("begin"), "tokens", "ids").mapInArrow(cut, PIECES)
