@@ -17,7 +17,7 @@ import os
 import numpy as np
 
 #: Pieces kept by a worker, and the longest piece that is kept; together they bound its memory.
-MAX_PIECES = 1_600_000
+MAX_PIECES = 1_200_000
 MAX_PIECE_CHARS = 48
 #: What one definition of white space or another counts besides str.isspace().
 ODD = "᠎​⁠﻿"
@@ -25,6 +25,9 @@ ODD = "᠎​⁠﻿"
 END = ".,!?;:"
 #: Stands for the first piece of a text, which has no space before it; no piece holds a space.
 HEAD = " "
+#: The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 up, in order.
+_PRINTABLE = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -46,6 +49,9 @@ class Encoder:
         self.lengths = np.zeros(self.vocab, np.int64)
         for token, k in self.tokenizer.get_vocab().items():
             self.lengths[k] = len(token)  # a character of a token stands for a byte
+        #: The same merges over words that are split and mapped to characters already.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.ends = dict(zip(END, self.whole(list(END)), strict=True))
         #: Ids of " " + piece; False where the piece is ragged.
         self.known: dict[str, bytes | bool] = {HEAD: b""}
 
@@ -53,31 +59,39 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes | bool]:
-        out: dict[str, bytes | bool] = {p: False for p in pieces if ragged(p)}
-        ended: list[str] = []  # a letter and one more character: never one token, so what stands before may be known
-        rest: set[str] = set()
+        out: dict[str, bytes | bool] = {}
+        words = {p for p in pieces if p.isalpha()}  # one pre-token each
+        ended: list[str] = []  # a word and one more character: never one token, so the word may be known
+        rest: list[str] = []
         for p in pieces:
-            if p in out:
+            if p in words:
                 continue
-            if p[-1] in END and p[-2:-1].isalpha():
+            if p[-1:] in self.ends and p[:-1].isalpha():
                 ended.append(p)
-                p = p[:-1]
-                if p in self.known:
-                    continue
-            rest.add(p)
-        out.update(self._encode(list(rest)))
-        ends = dict(zip(END, self.whole(list(END)), strict=True))
+            elif ragged(p):
+                out[p] = False
+            else:
+                rest.append(p)
+        words.update([p[:-1] for p in ended if p[:-1] not in self.known])
+        out.update(self._encode(list(words), self.words))
+        out.update(self._encode(rest, self.tokenizer))
         for p in ended:
             stem = p[:-1]
-            out[p] = (out.get(stem) or self.known[stem]) + ends[p[-1]]  # type: ignore[operator]
+            out[p] = (out.get(stem) or self.known[stem]) + self.ends[p[-1]]  # type: ignore[operator]
         return out
 
-    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+    def _encode(self, pieces: list[str], tokenizer) -> dict[str, bytes]:
         """Ids of " " + piece for pieces that aren't ragged."""
         out: dict[str, bytes] = {}
         for at in range(0, len(pieces), 5000):
             some = pieces[at : at + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + p for p in some])], add_special_tokens=False)[0].ids, self.dtype)
+            text = "".join([" " + p for p in some])
+            if tokenizer is self.words:
+                split = text.encode().decode("latin-1").translate(BYTE_CHARS).split(BYTE_CHARS[0x20])
+                found = tokenizer.encode_batch_fast([[BYTE_CHARS[0x20] + x for x in split[1:]]], is_pretokenized=True, add_special_tokens=False)
+            else:
+                found = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(found[0].ids, self.dtype)
             bounds = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in some])
             ends = np.searchsorted(np.cumsum(self.lengths[ids]), bounds) + 1
             raw, size, begin = ids.tobytes(), self.dtype.itemsize, 0
@@ -90,7 +104,7 @@ class Encoder:
         """The ids of each text, as bytes of ``dtype``."""
         if not self.by_piece:
             return self.whole(texts)
-        get, split, found = self.known.get, [], []
+        get, split = self.known.get, []
         heads: list[str] = []
         missing: set[str] = set()
         for text in texts:
@@ -98,15 +112,14 @@ class Encoder:
             heads.append(pieces[0])
             pieces[0] = HEAD
             ids = list(map(get, pieces))
-            if None in ids:
-                missing.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
-            split.append(pieces)
-            found.append(ids)
+            new = [i for i, x in enumerate(ids) if x is None]
+            missing.update([pieces[i] for i in new])
+            split.append((pieces, ids, new))
         learnt = self._learn(missing)
         out: list[bytes] = []
-        for text, head, first, pieces, ids in zip(texts, heads, self.whole(heads), split, found, strict=True):
-            if None in ids:
-                ids = [learnt[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
+        for text, head, first, (pieces, ids, new) in zip(texts, heads, self.whole(heads), split, strict=True):
+            for i in new:
+                ids[i] = learnt[pieces[i]]
             try:
                 if ragged(head) and text:
                     raise TypeError
@@ -116,7 +129,9 @@ class Encoder:
         if len(self.known) + len(learnt) > MAX_PIECES:
             self.known.clear()
             self.known[HEAD] = b""
-        self.known.update((p, x) for p, x in learnt.items() if len(p) <= MAX_PIECE_CHARS)
+        self.known.update(learnt)
+        for p in [p for p in learnt if len(p) > MAX_PIECE_CHARS]:
+            del self.known[p]
         return out
 
 
