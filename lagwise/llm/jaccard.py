@@ -214,25 +214,45 @@ def _exact_rows(percent: int):
     return run
 
 
-def _needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``sets`` with classes of ``pairs``, and a few more: a bitmap of bounded size stands for the classes."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+class ClassFilter:
+    """Bits of bounded number that stand for a set of classes: no false no, few false yes."""
+
+    def __init__(self, shared, bits: int):
+        self.shared, self.bits = shared, bits
+
+    def value(self, cls: np.ndarray) -> np.ndarray:
+        at = (mix64(cls.view(np.uint64)) & np.uint64(self.bits - 1)).astype(np.int64)
+        return (self.shared.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def class_filter(ids: DataFrame) -> ClassFilter:
+    """A filter for the column ``cls``; the bits number sixteen a class, up to 16 MB in all."""
+    ids = ids.distinct()
     n = ids.count()
     bits = min(1 << 27, max(1 << 12, 1 << (16 * max(n, 1)).bit_length()))
-    slot = F.pmod(F.xxhash64("cls"), F.lit(bits))
-    words = ids.select((slot / 32).cast("int").alias("word"), slot.alias("slot"))
-    words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(32)).cast("int"))).alias("value"))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(mix64(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+            word, begin = np.unique(at >> 5, return_index=True)
+            value = np.bitwise_or.reduceat(np.left_shift(1, at & 31), begin) if len(at) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(value)], ["word", "value"])
+
+    found = ids.mapInArrow(slots, "word int, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()  # a row a word, at most
     table = np.zeros(bits // 32, np.uint32)
-    found = words.toArrow()  # as many rows as the bitmap has words, at most
     table[found.column(0).to_numpy()] = found.column(1).to_numpy().astype(np.uint32)
-    shared = pairs.sparkSession.sparkContext.broadcast(table)
+    return ClassFilter(ids.sparkSession.sparkContext.broadcast(table), bits)
+
+
+def _needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The arrays of the classes of ``pairs``, and of a few more."""
+    wanted = class_filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            yield batch.select([0, 1]).filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
+            yield batch.filter(pa.array(wanted.value(batch.column(0).to_numpy())))
 
-    return sets.where(F.col("arr").isNotNull()).select("cls", "arr", slot.alias("slot")).mapInArrow(keep, "cls long, arr binary").dropDuplicates(["cls"])
+    return sets.where(F.col("arr").isNotNull()).select("cls", "arr").mapInArrow(keep, "cls long, arr binary").dropDuplicates(["cls"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -379,26 +399,12 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
-def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rk (a hash of id and text), n_shingles, component_id; a row for each row of ``docs``."""
-    spark = docs.sparkSession
-    wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text"))
-    sets = materialize(wide.mapInArrow(_set_rows, SETS), "sets")
-
-    # frequent shingles: those that batches hold often; FREQUENT of them at most reach the limit, as all counts sum to no more than all shingles
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    often = sets.where(F.col("hot").isNotNull()).select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy(F.col("x.hot").alias("token")).agg(F.sum("x.hot_n").alias("n"))
-    hot = often.where(F.col("n") >= max(32, -(-total // FREQUENT))).select("token").toArrow().column(0).to_numpy()
-    frequent = spark.sparkContext.broadcast(np.sort(hot.astype(np.uint64)))
+def link(tiles: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the classes that links join.
 
-    held = sets.where(F.col("arr").isNotNull())
-    entries = held.select("n", "cls", "arr").mapInArrow(_entry_rows(frequent, percent), "token long, n int, cls long")
+    ``tiles``: written rows (token, n, cls, of), the classes that share a token and how many they are; ``held``: (cls, arr, bits).
+    """
     by_token = Window.partitionBy("token")
-    # sorted by class, repeated entries of a class are side by side
-    marked = entries.withColumn("before", F.lag("cls").over(by_token.orderBy("n", "cls"))).where(F.col("before").isNull() | (F.col("before") != F.col("cls")))
-    counted = marked.withColumn("of", F.count("*").over(by_token)).where(F.col("of") > 1)
-    tiles = materialize(counted.select("token", "n", "cls", "of"), "tiles")
-
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
     leaders = tiles.withColumn("lead", F.min(F.struct("n", "cls")).over(Window.partitionBy("token", band)))
     star = leaders.where(F.col("lead.cls") != F.col("cls")).select(
@@ -409,7 +415,7 @@ def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: s
     maps = held.select("cls", "bits").dropDuplicates(["cls"])
     mapped = star.join(maps.select(F.col("cls").alias("a"), F.col("bits").alias("x")), "a").join(maps.select(F.col("cls").alias("b"), F.col("bits").alias("y")), "b")
     near = mapped.select("a", "an", "b", "bn", "x", "y").mapInArrow(_bound_rows(percent), PAIR)
-    edges = _verify(near, sets, percent, "leaders")
+    edges = _verify(near, held, percent, "leaders")
     first = components(edges)
 
     placed = tiles.join(first.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -420,8 +426,31 @@ def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: s
     cells = mixed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "cls", "root", "bits")
     cells = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     more = cells.mapInArrow(_cell_rows(percent), PAIR).distinct()
-    second = _verify(more, sets, percent, "cells")
-    roots = components(edges.union(second))
+    second = _verify(more, held, percent, "cells")
+    return components(edges.union(second))
+
+
+def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, rk (a hash of id and text), n_shingles, component_id; a row for each row of ``docs``."""
+    spark = docs.sparkSession
+    wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text"))
+    sets = materialize(wide.mapInArrow(_set_rows, SETS), "sets")
+
+    # frequent shingles: those that batches hold often; FREQUENT of them at most reach the limit, as all counts sum to no more than all shingles
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    often = sets.where(F.col("hot").isNotNull()).select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy(F.col("x.hot").alias("token")).agg(F.sum("x.hot_n").alias("n"))
+    hot = often.where(F.col("n") >= max(32, -(-total // FREQUENT))).select("token").toArrow().column(0).to_numpy()
+    frequent = spark.sparkContext.broadcast(np.sort(hot.astype(np.uint64)))
+
+    held = sets.where(F.col("arr").isNotNull())
+    entries = held.select("n", "cls", "arr").mapInArrow(_entry_rows(frequent, percent), "token long, n int, cls long")
+    by_token = Window.partitionBy("token")
+    # sorted by class, repeated entries of a class are side by side
+    marked = entries.withColumn("before", F.lag("cls").over(by_token.orderBy("n", "cls"))).where(F.col("before").isNull() | (F.col("before") != F.col("cls")))
+    counted = marked.withColumn("of", F.count("*").over(by_token)).where(F.col("of") > 1)
+    tiles = materialize(counted.select("token", "n", "cls", "of"), "tiles")
+
+    roots = link(tiles, held, percent)
 
     named = sets.select("doc_id", "rk", "n", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = materialize(named.select("doc_id", "rk", "n", "root"), "named")

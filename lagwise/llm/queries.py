@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lang_id, license_scan, line_dedup, media, mixing, packing, quality, token_files
+from . import jaccard, lang_id, license_scan, line_dedup, media, mixing, packing, passages, quality, token_files
 from .common import materialize
 from .oracles import ORACLES
 
@@ -27,6 +27,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(documents(spark, sf_dir))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     slim = materialize(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("n")), "sizes")
@@ -62,7 +66,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_license_scan, op3_source_mix, op4_quality_rules, op5_line_dedup, op6_token_files, op7_language_id, op8_jaccard_join, op9_packing, op10_media_columns]
+    named = [op1_license_scan, op2_substring_dedup, op3_source_mix, op4_quality_rules, op5_line_dedup, op6_token_files, op7_language_id, op8_jaccard_join, op9_packing, op10_media_columns]
     return {f.__name__: f for f in named}
 
 
