@@ -8,8 +8,8 @@
    of either in any fixed order.  The order has frequent shingles last (their number
    is bounded by FREQUENT), then goes by hash.  Classes with a prefix shingle in
    common, and of sizes that t allows, form a tile.
-3. Links by leaders.  In each tile and band of sizes every class is held against the
-   smallest one: a pair a row, not a pair a pair.  Bit counts of hashed bitmaps bound
+3. Links by leaders.  In each tile and band of sizes every class is held against one
+   of them, the smallest and then another: a pair a row, not a pair a pair.  Bit counts of hashed bitmaps bound
    the overlap from above; the pairs left are verified on the sorted arrays.  Their
    components are joined.
 4. What is left.  Tiles whose classes are in one component need no more.  The others
@@ -43,11 +43,15 @@ from .common import LOWER, blobs, materialize, mix64
 N = 5
 #: Shingles that may count as frequent: their table goes to all tasks, 8 bytes each.
 FREQUENT = 1 << 19
-LOCAL = 4
+LOCAL = 2
+#: Texts whose arrays are held before they are handed on.
+SLICE = 1000
+#: Rounds of leaders before the tiles that are still mixed are compared class by class.
+LEADER_ROUNDS = 2
 #: Classes in a block of a cell.
 BLOCK = 2048
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000
 
 
 class _Words(dict):
@@ -88,8 +92,8 @@ def unpack48(raw: bytes) -> np.ndarray:
 
 
 def bitmap_words(n: int) -> int:
-    """64-bit words of a set's bitmap, a power of two: one to two bits an element, in bands of sizes."""
-    return min(1024, 1 << max(0, (max(n, 1) - 1).bit_length() - 6))
+    """64-bit words of a set's bitmap, a power of two: 1024 bits, and one to two an element for sets of more than 1024."""
+    return min(1024, 1 << max(4, (max(n, 1) - 1).bit_length() - 6))
 
 
 def bitmap(keys: np.ndarray) -> bytes:
@@ -120,34 +124,48 @@ def overlap_bound(x: np.ndarray, y: np.ndarray, a, b):
 SETS = "doc_id long, rk long, n int, cls long, arr binary, bits binary, hot array<long>, hot_n array<int>"
 
 
+def _often(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that ``LOCAL`` of the sets hold and how many do, an eighth of the shingles at a time."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in range(8):
+        some = [s[(s & np.uint64(7)) == np.uint64(part)] for s in sets]
+        k, n = np.unique(np.concatenate(some), return_counts=True)
+        keys.append(k[n >= LOCAL])
+        counts.append(n[n >= LOCAL])
+    return np.concatenate(keys), np.concatenate(counts)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, classes, arrays, maps, seen, all_sets = [], [], [], [], set(), []
-        for text in blobs(batch.column(2)):
-            s = shingles(text)
-            c = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
-            first = c is not None and c not in seen
-            seen.add(c)
-            sizes.append(len(s))
-            classes.append(c)
-            raw = pack48(s) if first else None
-            arrays.append(raw)
-            maps.append(bitmap(unpack48(raw)) if first else None)
-            if first:
-                all_sets.append(s >> np.uint64(16))
-        hot: list = [None] * len(sizes)
-        hot_n: list = [None] * len(sizes)
-        if all_sets:
-            keys, counts = np.unique(np.concatenate(all_sets), return_counts=True)
-            often = counts >= LOCAL
-            hot[0], hot_n[0] = keys[often].astype(np.int64), counts[often].astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(arrays, pa.binary()), pa.array(maps, pa.binary()),
-                pa.array(hot, pa.list_(pa.int64())), pa.array(hot_n, pa.list_(pa.int32())),
-            ],
-            [x.split()[0] for x in SETS.split(", ")],
-        )
+        seen: set = set()
+        kept: list[np.ndarray] = []  # of the batch, for the frequent ones among them
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            sizes, classes, arrays, maps = [], [], [], []
+            for text in blobs(part.column(2)):
+                s = shingles(text)
+                c = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+                first = c is not None and c not in seen
+                seen.add(c)
+                sizes.append(len(s))
+                classes.append(c)
+                raw = pack48(s) if first else None
+                arrays.append(raw)
+                maps.append(bitmap(unpack48(raw)) if first else None)
+                if first:
+                    kept.append(s >> np.uint64(16))
+            hot: list = [None] * len(sizes)
+            hot_n: list = [None] * len(sizes)
+            if at + SLICE >= batch.num_rows and kept:
+                keys, counts = _often(kept)
+                hot[0], hot_n[0] = keys.astype(np.int64), counts.astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(arrays, pa.binary()), pa.array(maps, pa.binary()),
+                    pa.array(hot, pa.list_(pa.int64())), pa.array(hot_n, pa.list_(pa.int32())),
+                ],
+                [x.split()[0] for x in SETS.split(", ")],
+            )
 
 
 def _entry_rows(frequent, percent: int):
@@ -406,21 +424,27 @@ def link(tiles: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """
     by_token = Window.partitionBy("token")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    leaders = tiles.withColumn("lead", F.min(F.struct("n", "cls")).over(Window.partitionBy("token", band)))
-    star = leaders.where(F.col("lead.cls") != F.col("cls")).select(
-        F.least("lead.cls", "cls").alias("a"), F.when(F.col("lead.cls") < F.col("cls"), F.col("lead.n")).otherwise(F.col("n")).alias("an"),
-        F.greatest("lead.cls", "cls").alias("b"), F.when(F.col("lead.cls") < F.col("cls"), F.col("n")).otherwise(F.col("lead.n")).alias("bn"),
-    )
-    star = star.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent).distinct()
     maps = held.select("cls", "bits").dropDuplicates(["cls"])
-    mapped = star.join(maps.select(F.col("cls").alias("a"), F.col("bits").alias("x")), "a").join(maps.select(F.col("cls").alias("b"), F.col("bits").alias("y")), "b")
-    near = mapped.select("a", "an", "b", "bn", "x", "y").mapInArrow(_bound_rows(percent), PAIR)
-    edges = _verify(near, held, percent, "leaders")
-    first = components(edges)
-
-    placed = tiles.join(first.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo <> hi")
-    mixed = mixed.join(maps, "cls")
+    open_ = tiles.withColumn("root", F.col("cls"))
+    edges = None
+    for k in range(LEADER_ROUNDS):
+        first = F.struct("n", "cls", "root") if k == 0 else F.struct(F.xxhash64(F.lit(k), "cls").alias("by"), "n", "cls", "root")
+        led = open_.withColumn("lead", F.min(first).over(Window.partitionBy("token", band)))
+        swap = F.col("lead.cls") < F.col("cls")
+        star = led.where(F.col("lead.root") != F.col("root")).select(
+            F.least("lead.cls", "cls").alias("a"), F.when(swap, F.col("lead.n")).otherwise(F.col("n")).alias("an"),
+            F.greatest("lead.cls", "cls").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("lead.n")).alias("bn"),
+        )
+        star = star.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent).distinct()
+        mapped = star.join(maps.select(F.col("cls").alias("a"), F.col("bits").alias("x")), "a").join(maps.select(F.col("cls").alias("b"), F.col("bits").alias("y")), "b")
+        near = mapped.select("a", "an", "b", "bn", "x", "y").mapInArrow(_bound_rows(percent), PAIR)
+        found = _verify(near, held, percent, f"leaders-{k}")
+        edges = found if edges is None else edges.union(found)
+        roots = components(edges).select(F.col("node").alias("cls"), F.col("root").alias("of_cls"))
+        placed = open_.join(roots, "cls", "left").withColumn("root", F.coalesce("of_cls", "cls")).drop("of_cls")
+        open_ = materialize(placed.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo <> hi").drop("lo", "hi"), f"open-{k}")
+
+    mixed = open_.join(maps, "cls")
     blocks = F.ceil(F.col("of") / float(BLOCK)).cast("int")
     mixed = mixed.withColumn("block", F.pmod(F.hash("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = mixed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "cls", "root", "bits")
@@ -436,10 +460,12 @@ def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: s
     wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(wide.mapInArrow(_set_rows, SETS), "sets")
 
-    # frequent shingles: those that batches hold often; FREQUENT of them at most reach the limit, as all counts sum to no more than all shingles
-    total = sets.agg(F.sum("n")).first()[0] or 0
     often = sets.where(F.col("hot").isNotNull()).select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy(F.col("x.hot").alias("token")).agg(F.sum("x.hot_n").alias("n"))
-    hot = often.where(F.col("n") >= max(32, -(-total // FREQUENT))).select("token").toArrow().column(0).to_numpy()
+    often = materialize(often.where(F.col("n") >= 32), "often")
+    # the smallest power of two that at most FREQUENT shingles reach
+    steps = {r.step: r.n for r in often.groupBy(F.floor(F.log2("n")).alias("step")).agg(F.count("*").alias("n")).collect()}  # a row a power of two
+    least = next(k for k in range(5, 65) if sum(n for step, n in steps.items() if step >= k) <= FREQUENT)
+    hot = often.where(F.floor(F.log2("n")) >= least).select("token").toArrow().column(0).to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(hot.astype(np.uint64)))
 
     held = sets.where(F.col("arr").isNotNull())
