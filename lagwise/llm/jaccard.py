@@ -264,7 +264,7 @@ def class_filter(ids: DataFrame) -> ClassFilter:
 
 def _needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The arrays of the classes of ``pairs``, and of a few more."""
-    wanted = class_filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
+    wanted = class_filter(pairs.select(F.col("a").alias("cls")).distinct().union(pairs.select(F.col("b").alias("cls")).distinct()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
