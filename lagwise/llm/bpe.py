@@ -17,7 +17,7 @@ import os
 import numpy as np
 
 #: Pieces kept by a worker, and the longest piece that is kept; together they bound its memory.
-MAX_PIECES = 1_200_000
+MAX_PIECES = 600_000
 MAX_PIECE_CHARS = 48
 #: What one definition of white space or another counts besides str.isspace().
 ODD = "᠎​⁠﻿"

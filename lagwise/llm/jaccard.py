@@ -51,7 +51,7 @@ LEADER_ROUNDS = 2
 #: Classes in a block of a cell.
 BLOCK = 2048
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 
 
 class _Words(dict):
