@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
+
 LAGS = (1, 2, 3, 5)
 
 
@@ -29,8 +31,9 @@ def lagged_correlation(panel: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFr
 
 def signed_lead_lag(correlation: DataFrame) -> DataFrame:
     """(i, j, w, lag) for i < j: the antisymmetric part at the lag where it is largest, the first such lag on ties."""
-    swapped = correlation.select("lag", F.col("i").alias("j"), F.col("j").alias("i"), F.col("c").alias("back"))
-    s = correlation.where("i < j").join(swapped, ["lag", "i", "j"]).withColumn("s", F.round(F.col("c") - F.col("back"), 9))
+    gain = F.when(F.col("i") < F.col("j"), F.col("c")).otherwise(-F.col("c"))
+    both = correlation.groupBy("lag", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.round(F.sum(gain), 9).alias("s"), F.count("*").alias("n"))
+    s = both.where("n = 2").select("lag", F.col("a").alias("i"), F.col("b").alias("j"), "s")
     best = F.max_by(F.struct("s", "lag"), F.struct(F.abs("s"), -F.col("lag")))
     return s.groupBy("i", "j").agg(best.alias("x")).select("i", "j", F.col("x.s").alias("w"), F.col("x.lag").alias("lag"))
 
@@ -51,6 +54,15 @@ def sparsify(pairs: DataFrame, mode: str = "quantile", threshold: float = 0.9, m
     )
 
 
+def forman_undirected(edges: DataFrame, weighted: bool = True, name: str = "f") -> DataFrame:
+    """``edges`` with 4 - sqrt(w) (S[src] + S[dst]), S the sum of w^-1/2 at a vertex."""
+    w = F.col("weight") if weighted else F.lit(1.0)
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("v"), (1 / F.sqrt(w)).alias("h"))
+    at = ends.groupBy("v").agg(F.sum("h").alias("s"))
+    e = edges.join(at.toDF("src", "s_src"), "src").join(at.toDF("dst", "s_dst"), "dst")
+    return e.withColumn(name, 4 - F.sqrt(w) * (F.col("s_src") + F.col("s_dst"))).select(*edges.columns, name)
+
+
 def forman(edges: DataFrame, weighted: bool = True, flow: str = "bottleneck", name: str = "f") -> DataFrame:
     """``edges`` with the directed Forman curvature: 2 - sqrt(w) (I[src] + O[dst] - 2 w_rev^-1/2), or through flow: 4 - sqrt(w) (O[src] + I[dst])."""
     if flow not in ("bottleneck", "through"):
@@ -103,3 +115,72 @@ def line_graph(edges: DataFrame) -> DataFrame:
     other = ends.select(F.col("src").alias("src2"), F.col("dst").alias("dst2"), F.col("weight").alias("w2"), "v")
     pairs = ends.join(other, "v").where((F.col("src") < F.col("src2")) | ((F.col("src") == F.col("src2")) & (F.col("dst") < F.col("dst2"))))
     return pairs.select("src", "dst", "src2", "dst2", F.sqrt(F.col("weight") * F.col("w2")).alias("weight")).distinct()
+
+
+def node_mean(edges: DataFrame, value: str) -> DataFrame:
+    """(v, curvature): the mean over the edges at a vertex, in either direction."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("v"), value).groupBy("v").agg(F.avg(value).alias("curvature"))
+
+
+def clustering(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(v, c): triangles at a vertex over pairs of its neighbours, without direction; 0 below two neighbours."""
+    one = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    at = triangles(one).select(F.explode(F.array("src", "dst")).alias("v"), "m").groupBy("v").agg(F.sum("m").alias("twice"), F.count("*").alias("d"))
+    c = F.when(F.col("d") >= 2, F.col("twice") / (F.col("d") * (F.col("d") - 1))).otherwise(0.0)
+    return vertices.join(at, "v", "left").select("v", F.coalesce(c, F.lit(0.0)).alias("c"))
+
+
+def triangle_density(edges: DataFrame, labels: DataFrame, zero_warn: float = 0.5, within_warn: float = 0.25) -> DataFrame:
+    """One row: share of edges without a triangle, mean and median, triangles in all and within a label, clustering within labels, and a flag.
+
+    ``labels`` is (v, label) of every vertex.  Without edges the share without a triangle is 1.
+    """
+    e = triangles(edges.select("src", "dst"))
+    inside = edges.join(labels.toDF("src", "la"), "src").join(labels.toDF("dst", "lb"), "dst").where("la = lb").select("src", "dst")
+    c = labels.join(clustering(inside, labels.select("v")), "v").groupBy("label").agg(F.avg("c").alias("c")).agg(F.avg("c").alias("clustering"))
+    whole = e.agg(
+        F.count("*").alias("n_edges"), F.coalesce(F.avg((F.col("m") == 0).cast("double")), F.lit(1.0)).alias("zero"), F.coalesce(F.avg("m"), F.lit(0.0)).alias("mean_m"),
+        F.coalesce(F.percentile("m", F.lit(0.5)), F.lit(0.0)).alias("median_m"), F.coalesce(F.sum("m") / 3, F.lit(0.0)).cast("long").alias("n_triangles"),
+    )
+    within = triangles(inside).agg(F.coalesce(F.sum("m") / 3, F.lit(0.0)).alias("n_within"))
+    share = F.coalesce(F.try_divide("n_within", "n_triangles"), F.lit(0.0))
+    row = whole.crossJoin(F.broadcast(within)).crossJoin(F.broadcast(c))  # one row each
+    row = row.withColumn("within", share).withColumn("sparse", (F.col("zero") > zero_warn) | (F.col("within") < within_warn))
+    return row.select("n_edges", "zero", "mean_m", "median_m", "n_triangles", "within", "clustering", "sparse")
+
+
+def curvature_gap(edges: DataFrame, labels: DataFrame, value: str = "f_augmented") -> DataFrame:
+    """One row: (mean within labels - mean across) / pooled deviation; null where a side has no edge, divided by 1 without variance."""
+    e = edges.join(labels.toDF("src", "la"), "src").join(labels.toDF("dst", "lb"), "dst").select(F.col(value).alias("x"), (F.col("la") == F.col("lb")).alias("same"))
+    a, b = F.when(F.col("same"), F.col("x")), F.when(~F.col("same"), F.col("x"))
+    pooled = F.when((F.count(a) > 1) & (F.count(b) > 1), F.sqrt((F.var_samp(a) + F.var_samp(b)) / 2)).otherwise(F.stddev_pop("x"))
+    gap = F.when((F.count(a) > 0) & (F.count(b) > 0), (F.avg(a) - F.avg(b)) / F.when(pooled > 0, pooled).otherwise(1.0))
+    return e.agg(gap.alias("gap"), F.avg(a).alias("within"), F.avg(b).alias("across"), F.count(a).alias("n_within"), F.count(b).alias("n_across"))
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: sum over labels of L/m - (d/2m)^2, without direction or weight."""
+    e = edges.join(labels.toDF("src", "la"), "src").join(labels.toDF("dst", "lb"), "dst")
+    total = edges.agg(F.count("*").alias("total"))
+    each = e.select(F.explode(F.array("la", "lb")).alias("label"), (F.col("la") == F.col("lb")).cast("int").alias("same")).groupBy("label").agg(F.count("*").alias("d"), (F.sum("same") / 2).alias("inside"))
+    part = F.col("inside") / F.col("total") - F.pow(F.col("d") / (2 * F.col("total")), F.lit(2))
+    return each.crossJoin(F.broadcast(total)).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("q"))
+
+
+def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(v, root): the smallest vertex that each reaches without direction.
+
+    Least labels over neighbours, then over the label's own label, so long chains halve in each round; every round is
+    written, so no plan grows.
+    """
+    one = edges.select("src", "dst")
+    both = materialize(one.union(one.select("dst", "src")).toDF("v", "x").distinct(), "adjacent")
+    labels = materialize(vertices.select("v", F.col("v").alias("root")), "labels")
+    while True:
+        near = both.join(labels.toDF("x", "other"), "x").groupBy("v").agg(F.min("other").alias("least"))
+        step = labels.join(near, "v", "left").select("v", F.col("root").alias("was"), F.least("root", "least").alias("root"))
+        jump = step.select(F.col("v").alias("root"), F.col("root").alias("up"))
+        new = materialize(step.join(jump, "root", "left").select("v", "was", F.coalesce("up", "root").alias("root")), "labels")
+        labels = new.select("v", "root")
+        if new.where("was <> root").isEmpty():
+            return labels

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ranks
 from ..operators import graphs, residuals
 from ..sources import panels
+from ..sources.scratch import materialize
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
@@ -15,12 +16,16 @@ def _r(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in columns})
 
 
+def _panel(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(panels.week_panel(spark, d), "panel")
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.signed_lead_lag(graphs.lagged_correlation(panels.week_panel(spark, d)))
+    return graphs.signed_lead_lag(graphs.lagged_correlation(_panel(spark, d)))
 
 
 def _edges(spark: SparkSession, d: str, q: float = 0.7) -> DataFrame:
-    return graphs.sparsify(_pairs(spark, d), "quantile", q)
+    return materialize(graphs.sparsify(materialize(_pairs(spark, d), "pairs"), "quantile", q), "edges")
 
 
 def panel_week(spark, d):
@@ -78,23 +83,23 @@ def calendar_ffill(spark, d):
 
 
 def market_factor(spark, d):
-    return _r(residuals.market_factor(panels.week_panel(spark, d)), "market")
+    return _r(residuals.market_factor(_panel(spark, d)), "market")
 
 
 def sector_factor(spark, d):
-    return _r(residuals.sector_factors(panels.week_panel(spark, d)), "factor")
+    return _r(residuals.sector_factors(_panel(spark, d)), "factor")
 
 
 def sector_leave_one_out(spark, d):
-    return _r(residuals.leave_one_out(panels.week_panel(spark, d)).select("t", "asset", "peers"), "peers")
+    return _r(residuals.leave_one_out(_panel(spark, d)).select("t", "asset", "peers"), "peers")
 
 
 def resid_market(spark, d):
-    return _r(residuals.residualize(panels.week_panel(spark, d), "market").select("t", "asset", "r"), "r")
+    return _r(residuals.residualize(_panel(spark, d), "market").select("t", "asset", "r"), "r")
 
 
 def lagged_corr(spark, d):
-    return _r(graphs.lagged_correlation(panels.week_panel(spark, d)), "c")
+    return _r(graphs.lagged_correlation(_panel(spark, d)), "c")
 
 
 def signed_lead_lag(spark, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,7 +26,7 @@ def week_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, asset_idx, asset, sector, r): weekly change of ln(1 + v) on the dense grid, missing weeks as 0."""
-    sales = week_sales(spark, sf_dir)
+    sales = materialize(week_sales(spark, sf_dir), "sales")
     weeks, assets = ordinal(sales, "wk", "t"), sales.select("asset", "sector").distinct()
     assets = assets.withColumn("asset_idx", F.row_number().over(Window.orderBy("asset")) - 1)
     grid = weeks.crossJoin(assets).join(sales.select("wk", "asset", "v"), ["wk", "asset"], "left").fillna(0.0, ["v"])
