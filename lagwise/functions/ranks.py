@@ -14,12 +14,34 @@ def average_rank(column: str, by: list[str] | None = None):
     return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: rho over the rows where both are there, and how many; null for fewer than three or without variance."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(average_rank(x).alias("a"), average_rank(y).alias("b"))
-    cov = F.avg(F.col("a") * F.col("b")) - F.avg("a") * F.avg("b")
-    rho = F.when(F.count("*") >= 3, F.try_divide(cov, F.sqrt(F.var_pop("a") * F.var_pop("b"))))
-    return d.agg(rho.alias("rho"), F.count("*").alias("n"))
+def guarded_corr(x, y):
+    """Pearson correlation of rows where both are there; null without variance."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    vx, vy = F.var_pop(x), F.var_pop(y)
+    return F.when((vx > 0) & (vy > 0), F.try_divide(F.covar_pop(x, y), F.sqrt(vx * vy)))
+
+
+def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """One row (for each group): rho over the rows where both are there, and how many; null for fewer than three or without variance."""
+    by = by or []
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(x, by).alias("a"), average_rank(y, by).alias("b"))
+    rho = F.when(F.count("*") >= 3, guarded_corr(F.col("a"), F.col("b")))
+    return d.groupBy(*by).agg(rho.alias("rho"), F.count("*").alias("n"))
+
+
+def partial_spearman(df: DataFrame, x: str, y: str, control: str) -> DataFrame:
+    """One row: correlation of the ranks of x and y without what the ranks of the control explain."""
+    d = df.where(" and ".join(f"{c} is not null" for c in (x, y, control))).select(*(average_rank(c).alias(k) for c, k in ((x, "a"), (y, "b"), (control, "z"))))
+    r = d.agg(*(guarded_corr(F.col(p), F.col(q)).alias(p + q) for p, q in ("ab", "az", "bz")), F.count("*").alias("n"))
+    rest = F.sqrt((1 - F.pow("az", F.lit(2))) * (1 - F.pow("bz", F.lit(2))))
+    return r.select(F.when(rest > 1e-9, (F.col("ab") - F.col("az") * F.col("bz")) / rest).alias("rho"), "n")
+
+
+def r_squared(y, x1, x2):
+    """Share of y's variance that two regressors and a constant explain; 1 where y has none."""
+    a, b, c = (F.coalesce(guarded_corr(p, q), F.lit(0.0)) for p, q in ((y, x1), (y, x2), (x1, x2)))
+    two = (a * a + b * b - 2 * a * b * c) / F.when(1 - c * c > 1e-9, 1 - c * c)
+    return F.when(F.var_pop(y) > 0, F.coalesce(two, F.greatest(a * a, b * b))).otherwise(1.0)
 
 
 def topk_jaccard(df: DataFrame, x: str, y: str, keys: list[str], k: float) -> DataFrame:
@@ -38,3 +60,17 @@ def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     raw = F.least(F.lit(1.0), F.col(p) * F.count(F.lit(1)).over(Window.partitionBy()) / F.row_number().over(up))
     d = df.withColumn("__raw", raw)
     return d.withColumn("p_adj", F.min("__raw").over(Window.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0))).withColumn("reject", F.col("p_adj") <= alpha).drop("__raw")
+
+
+def _log_choose(n, k):
+    log_factorial = lambda x: F.aggregate(F.sequence(F.lit(0).cast("bigint"), x.cast("bigint")), F.lit(0.0), lambda acc, i: acc + F.ln(F.greatest(i, F.lit(1)).cast("double")))
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+
+
+def hypergeometric_tail(hits, drawn, marked, of):
+    """Chance of as many hits or more among ``drawn`` of ``of``, ``marked`` of which count."""
+    total = _log_choose(of, drawn)
+    term = lambda x: F.exp(_log_choose(marked, x) + _log_choose(of - marked, drawn - x) - total)
+    first, last = F.greatest(hits, drawn + marked - of), F.least(drawn, marked)
+    xs = F.when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(F.transform(xs, term), F.lit(0.0), lambda acc, x: acc + x)

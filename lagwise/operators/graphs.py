@@ -13,36 +13,36 @@ from ..sources.scratch import materialize
 LAGS = (1, 2, 3, 5)
 
 
-def lagged_correlation(panel: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:
-    """(lag, i, j, c): Pearson correlation of asset i with asset j ``lag`` later; 0 without variance or with missing values."""
+def lagged_correlation(panel: DataFrame, lags: tuple[int, ...] = LAGS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, lag, i, j, c): Pearson correlation of asset i with asset j ``lag`` later; 0 without variance or with missing values."""
     if any(k < 1 for k in lags):
         raise ValueError("lags start at 1")
     shifts = F.explode(F.array(*(F.lit(k) for k in lags)))
-    a = panel.select(F.col("t").alias("ta"), F.col("asset_idx").alias("i"), F.col("r").alias("x"), shifts.alias("lag")).withColumn("t", F.col("ta") + F.col("lag"))
-    b = panel.select("t", F.col("asset_idx").alias("j"), F.col("r").alias("y"))
-    pairs = a.join(b, "t").where("i <> j")
+    a = panel.select(*by, F.col("t").alias("ta"), F.col("asset_idx").alias("i"), F.col("r").alias("x"), shifts.alias("lag")).withColumn("t", F.col("ta") + F.col("lag"))
+    b = panel.select(*by, "t", F.col("asset_idx").alias("j"), F.col("r").alias("y"))
+    pairs = a.join(b, [*by, "t"]).where("i <> j")
     n = F.count(F.lit(1))
     cov = F.sum(F.col("x") * F.col("y")) / n - F.avg("x") * F.avg("y")
     vx, vy = F.var_pop("x"), F.var_pop("y")
     whole = (F.count("x") == n) & (F.count("y") == n) & (vx > 0) & (vy > 0)
     c = F.when(whole, F.try_divide(cov, F.sqrt(vx * vy))).otherwise(F.lit(0.0))
-    return pairs.groupBy("lag", "i", "j").agg(F.coalesce(c, F.lit(0.0)).alias("c"))
+    return pairs.groupBy(*by, "lag", "i", "j").agg(F.coalesce(c, F.lit(0.0)).alias("c"))
 
 
-def signed_lead_lag(correlation: DataFrame) -> DataFrame:
-    """(i, j, w, lag) for i < j: the antisymmetric part at the lag where it is largest, the first such lag on ties."""
+def signed_lead_lag(correlation: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, i, j, w, lag) for i < j: the antisymmetric part at the lag where it is largest, the first such lag on ties."""
     gain = F.when(F.col("i") < F.col("j"), F.col("c")).otherwise(-F.col("c"))
-    both = correlation.groupBy("lag", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.round(F.sum(gain), 9).alias("s"), F.count("*").alias("n"))
-    s = both.where("n = 2").select("lag", F.col("a").alias("i"), F.col("b").alias("j"), "s")
+    both = correlation.groupBy(*by, "lag", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.round(F.sum(gain), 9).alias("s"), F.count("*").alias("n"))
+    s = both.where("n = 2").select(*by, "lag", F.col("a").alias("i"), F.col("b").alias("j"), "s")
     best = F.max_by(F.struct("s", "lag"), F.struct(F.abs("s"), -F.col("lag")))
-    return s.groupBy("i", "j").agg(best.alias("x")).select("i", "j", F.col("x.s").alias("w"), F.col("x.lag").alias("lag"))
+    return s.groupBy(*by, "i", "j").agg(best.alias("x")).select(*by, "i", "j", F.col("x.s").alias("w"), F.col("x.lag").alias("lag"))
 
 
-def sparsify(pairs: DataFrame, mode: str = "quantile", threshold: float = 0.9, min_abs: float = 0.0) -> DataFrame:
-    """(src, dst, weight, signed, lag): pairs strictly above the cut, from the leader to the lagger."""
+def sparsify(pairs: DataFrame, mode: str = "quantile", threshold: float = 0.9, min_abs: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, src, dst, weight, signed, lag): pairs strictly above the cut, from the leader to the lagger."""
     if mode == "quantile":
-        cut = pairs.agg(F.percentile(F.abs("w"), F.lit(threshold)).alias("cut"))
-        kept = pairs.crossJoin(F.broadcast(cut))  # one row
+        cut = pairs.groupBy(*by).agg(F.percentile(F.abs("w"), F.lit(threshold)).alias("cut"))
+        kept = pairs.join(cut, list(by)) if by else pairs.crossJoin(F.broadcast(cut))  # one row
     elif mode in ("absolute", "none"):
         kept = pairs.withColumn("cut", F.lit(float(threshold if mode == "absolute" else min_abs)))
     else:
@@ -50,7 +50,7 @@ def sparsify(pairs: DataFrame, mode: str = "quantile", threshold: float = 0.9, m
     kept = kept.where((F.abs("w") > F.greatest("cut", F.lit(min_abs))) & (F.col("w") != 0))
     ahead = F.col("w") > 0
     return kept.select(
-        F.when(ahead, F.col("i")).otherwise(F.col("j")).alias("src"), F.when(ahead, F.col("j")).otherwise(F.col("i")).alias("dst"), F.abs("w").alias("weight"), F.col("w").alias("signed"), "lag"
+        *by, F.when(ahead, F.col("i")).otherwise(F.col("j")).alias("src"), F.when(ahead, F.col("j")).otherwise(F.col("i")).alias("dst"), F.abs("w").alias("weight"), F.col("w").alias("signed"), "lag"
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +42,42 @@ def residualize(panel: DataFrame, method: str = "market_sector") -> DataFrame:
     if method == "market":
         _, b, a = _slope(F.col("market"), F.col("r"), w)
         return rows.withColumn("r", F.col("r") - a - b * F.col("market")).drop("market")
-    # two regressors: demeaned normal equations; peers alone in their sector fall back on the market
-    rows = leave_one_out(rows).withColumn("peers", F.coalesce("peers", F.lit(0.0)))
-    for c in ("r", "market", "peers"):
+    # peers alone in their sector fall back on the market
+    return _two_regressors(leave_one_out(rows).withColumn("peers", F.coalesce("peers", F.lit(0.0))), "market", "peers").select(*panel.columns)
+
+
+def _two_regressors(rows: DataFrame, x: str, z: str) -> DataFrame:
+    """``rows`` with r less its fit on two regressors and a constant for each asset: demeaned normal equations."""
+    w = Window.partitionBy("asset")
+    for c in ("r", x, z):
         rows = rows.withColumn(f"d_{c}", F.col(c) - F.avg(c).over(w))
-    s = lambda x, y: F.sum(F.col(f"d_{x}") * F.col(f"d_{y}")).over(w)
-    rows = rows.withColumns({"mm": s("market", "market"), "pp": s("peers", "peers"), "mp": s("market", "peers"), "rm": s("r", "market"), "rp": s("r", "peers")})
-    det = F.col("mm") * F.col("pp") - F.col("mp") * F.col("mp")
-    whole = F.abs(det) > 1e-12 * F.col("mm") * F.col("pp")
-    bm = F.when(whole, F.try_divide(F.col("rm") * F.col("pp") - F.col("rp") * F.col("mp"), det)).otherwise(F.coalesce(F.try_divide(F.col("rm"), F.col("mm")), F.lit(0.0)))
-    bp = F.when(whole, F.try_divide(F.col("rp") * F.col("mm") - F.col("rm") * F.col("mp"), det)).otherwise(F.lit(0.0))
-    return rows.withColumn("r", F.col("d_r") - bm * F.col("d_market") - bp * F.col("d_peers")).select(*panel.columns)
+    s = lambda a, b: F.sum(F.col(f"d_{a}") * F.col(f"d_{b}")).over(w)
+    rows = rows.withColumns({"xx": s(x, x), "zz": s(z, z), "xz": s(x, z), "rx": s("r", x), "rz": s("r", z)})
+    det = F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz")
+    whole = F.abs(det) > 1e-12 * F.col("xx") * F.col("zz")
+    bx = F.when(whole, F.try_divide(F.col("rx") * F.col("zz") - F.col("rz") * F.col("xz"), det)).otherwise(F.coalesce(F.try_divide(F.col("rx"), F.col("xx")), F.lit(0.0)))
+    bz = F.when(whole, F.try_divide(F.col("rz") * F.col("xx") - F.col("rx") * F.col("xz"), det)).otherwise(F.lit(0.0))
+    return rows.withColumn("r", F.col("d_r") - bx * F.col(f"d_{x}") - bz * F.col(f"d_{z}"))
+
+
+def on_two_factors(panel: DataFrame, factors: DataFrame) -> DataFrame:
+    """``panel`` with r replaced by its residual on the factors f1 and f2 of (t, f1, f2)."""
+    return _two_regressors(panel.join(factors, "t"), "f1", "f2").select(*panel.columns)
+
+
+def principal(panel: DataFrame, k: int) -> DataFrame:
+    """``panel`` with r replaced by its residual on the k largest principal components of the demeaned columns.
+
+    The Gram matrix of the assets is summed by a join on time; only it (assets squared) comes to the driver, and
+    only the loadings go back, so no axis of time is ever in one place.
+    """
+    w = Window.partitionBy("asset_idx")
+    rows = panel.withColumn("__d", F.col("r") - F.avg("r").over(w))
+    a, b = rows.select("t", F.col("asset_idx").alias("i"), F.col("__d").alias("x")), rows.select("t", F.col("asset_idx").alias("j"), F.col("__d").alias("y"))
+    gram = a.join(b, "t").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g")).toPandas().pivot(index="i", columns="j", values="g").fillna(0.0)
+    vectors = np.linalg.eigh(gram.to_numpy())[1][:, ::-1][:, :k]
+    loads = panel.sparkSession.createDataFrame([(int(v), c, float(vectors[n, c])) for n, v in enumerate(gram.index) for c in range(vectors.shape[1])], "asset_idx int, c int, load double")
+    loads = F.broadcast(loads)  # k numbers an asset
+    scores = rows.join(loads, "asset_idx").groupBy("t", "c").agg(F.sum(F.col("__d") * F.col("load")).alias("score"))
+    fit = scores.join(loads, "c").groupBy("t", "asset_idx").agg(F.sum(F.col("score") * F.col("load")).alias("fit"))
+    return rows.join(fit, ["t", "asset_idx"]).withColumn("r", F.col("__d") - F.col("fit")).select(*panel.columns)

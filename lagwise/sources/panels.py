@@ -70,3 +70,9 @@ def present(panel: DataFrame, share: float) -> DataFrame:
     of = panel.agg(F.countDistinct("t").alias("of"))
     good = panel.groupBy("asset").agg(F.count("r").alias("n")).crossJoin(F.broadcast(of)).where(F.col("n") >= share * F.col("of")).select("asset")
     return panel.join(good, "asset", "left_semi")
+
+
+def normalized(name):
+    """Upper case, punctuation as spaces, without the words that only say what kind of company it is."""
+    bare = F.regexp_replace(F.upper(name), "[^A-Z0-9 ]", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(CL A|CORP|INC|CO|LTD|PLC|GROUP|HOLDINGS)\b", " "), " +", " "))
