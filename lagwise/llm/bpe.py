@@ -16,6 +16,8 @@ import os
 
 import numpy as np
 
+from .common import cached, claim
+
 #: Pieces kept by a worker, and the longest piece that is kept; together they bound its memory.
 MAX_PIECES = 600_000
 MAX_PIECE_CHARS = 48
@@ -29,6 +31,7 @@ HEAD = " "
 _PRINTABLE = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
 BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _encoders: dict[str, Encoder] = {}
+cached("pieces", _encoders.clear)
 
 
 def ragged(piece: str) -> bool:
@@ -138,6 +141,7 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One per Python worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    claim("pieces")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

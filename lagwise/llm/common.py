@@ -8,8 +8,11 @@ is a temporary folder made and set.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +69,30 @@ def release() -> None:
             return
 
 
+_dropped: dict[str, Callable[[], None]] = {}
+_holder: list[str] = []
+
+
+def cached(name: str, drop: Callable[[], None]) -> None:
+    """Name what empties an operator's cache in this worker."""
+    _dropped[name] = drop
+
+
+def claim(name: str = "") -> None:
+    """To be called where a task begins: workers outlive their tasks, so what other operators hold is dropped and given back."""
+    if _holder == [name]:
+        return
+    _holder[:] = [name]
+    for other, drop in _dropped.items():
+        if other != name:
+            drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of one C library only
+    if trim is not None:
+        trim(0)
+
+
 def blobs(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

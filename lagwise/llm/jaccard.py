@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, blobs, materialize, mix64
+from .common import LOWER, blobs, cached, claim, materialize, mix64
 
 N = 5
 #: Shingles that may count as frequent: their table goes to all tasks, 8 bytes each.
@@ -65,6 +65,7 @@ class _Words(dict):
 
 
 _words = _Words()
+cached("words", _words.clear)
 
 
 def shingles(text: bytes | None, n: int = N) -> np.ndarray:
@@ -136,6 +137,7 @@ def _often(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("words")
     for batch in batches:
         seen: set = set()
         kept: list[np.ndarray] = []  # of the batch, for the frequent ones among them
@@ -172,6 +174,7 @@ def _entry_rows(frequent, percent: int):
     """Prefix shingles of the classes: token, n, cls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         hot = frequent.value
         for batch in batches:
             tokens, ns, cs = [], [], []
@@ -207,6 +210,7 @@ def _bound_rows(percent: int):
     """Pairs whose bitmaps allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             a, an, b, bn, x, y = (batch.column(i).to_pylist() for i in range(6))
             keep = []
@@ -221,6 +225,7 @@ def _bound_rows(percent: int):
 
 def _exact_rows(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             an, bn, x, y = (batch.column(i).to_pylist() for i in (1, 3, 4, 5))
             keep = []
@@ -396,6 +401,7 @@ def _cell_rows(percent: int):
             yield flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:

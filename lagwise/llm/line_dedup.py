@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, arrow_fs, blobs, mix64, scratch_path
+from .common import LOWER, SPACE, arrow_fs, blobs, claim, mix64, scratch_path
 
 #: Keys of a shard, but for chance, and shards that a worker holds: some 3 MB each.
 SHARD_KEYS = 1 << 17
@@ -165,6 +165,7 @@ def _index(folder: str, shards: int) -> Index:
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim()
     for batch in batches:
         keys: list[bytes] = []
         for text in blobs(batch.column(0)):
@@ -217,6 +218,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_key: int = 1, text_col:
     place = docs.columns.index(text_col)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         index = _index(folder, shards)
         for batch in batches:
             texts = blobs(batch.column(place))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, blobs, materialize
+from .common import LOWER, SPACE, blobs, claim, materialize
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -89,6 +89,7 @@ def line_hashes(text: bytes | None) -> tuple[list[int], list[int]]:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim()
     for batch in batches:
         got, hashes, counts = [], [], []
         for text in blobs(batch.column(3)):
