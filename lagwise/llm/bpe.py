@@ -16,10 +16,10 @@ import os
 
 import numpy as np
 
-from .common import cached, claim
+from .common import cached, claim, give_back
 
 #: Pieces kept by a worker, and the longest piece that is kept; together they bound its memory.
-MAX_PIECES = 600_000
+MAX_PIECES = 400_000
 MAX_PIECE_CHARS = 48
 #: What one definition of white space or another counts besides str.isspace().
 ODD = "᠎​⁠﻿"
@@ -144,4 +144,5 @@ def encoder(path: str) -> Encoder:
     claim("pieces")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        give_back()  # what reading the vocabulary took
     return _encoders[path]

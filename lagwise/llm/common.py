@@ -86,6 +86,11 @@ def claim(name: str = "") -> None:
     for other, drop in _dropped.items():
         if other != name:
             drop()
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that nothing holds goes back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of one C library only

@@ -29,7 +29,7 @@ from .common import materialize
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Texts encoded at a time, in characters; longer texts go alone.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def token_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list, list[bytes], np.dtype]]:
