@@ -461,7 +461,10 @@ def link(tiles: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, rk (a hash of id and text), n_shingles, component_id; a row for each row of ``docs``."""
+    """doc_id, rk (a hash of id and text), n_shingles, component_id, root; a row for each row of ``docs``.
+
+    ``root`` tells components apart, which names don't: null ids and ids that stand twice can name several.
+    """
     spark = docs.sparkSession
     wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(wide.mapInArrow(_set_rows, SETS), "sets")
@@ -488,15 +491,15 @@ def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: s
     named = materialize(named.select("doc_id", "rk", "n", "root"), "named")
     names = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("name"))
     out = named.join(names, "root", "left")
-    return out.select("doc_id", "rk", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"))
+    return out.select("doc_id", "rk", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of every component stays, the one with the smallest id; documents without a word all stay."""
-    found = join(docs, percent, id_col, text_col).select("doc_id", "rk", "n_shingles", "component_id")
+    found = join(docs, percent, id_col, text_col).select("doc_id", "rk", "n_shingles", "root")
     linked = found.where(F.col("n_shingles") > 0)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("rk").alias("k"))).alias("x")
-    keep = linked.groupBy("component_id").agg(one).select(F.coalesce("x.id", F.lit(-1)).alias("__id"), F.col("x.k").alias("__rk"), F.lit(True).alias("__one"))
+    keep = linked.groupBy("root").agg(one).select(F.coalesce("x.id", F.lit(-1)).alias("__id"), F.col("x.k").alias("__rk"), F.lit(True).alias("__one"))
     empty = found.where(F.col("n_shingles") == 0).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("rk").alias("__rk"), F.lit(False).alias("__one")).distinct()
     rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__rk": row_key(id_col, text_col)})
     both = rows.join(keep.union(empty), ["__id", "__rk"])
