@@ -4,18 +4,19 @@ One pass over the texts gives each document the figures of the plain rules and t
 64-bit hashes of its normalised lines (white space at the ends off, A-Z in lower
 case, runs of digits as one 0), written as a slim table without text.  The hashes
 are counted by host: how many distinct documents of the host hold a line.
-Documents that are copies of each other, exact or near, count once for a line: the
-count is over sketches, a sketch being the smallest line hash of a document.  Thus
-boilerplate that stands in otherwise different documents is found, and a document
-isn't boilerplate because it was copied.
+Documents with the same set of lines count once for a line, so a document isn't
+boilerplate because it was copied; the count is over sketches, a sketch being a hash
+of all of a document's line hashes.  Documents that differ in any line count each:
+pages of one template with a line or two of their own can't be told from near copies
+by their lines.
 
 A line is removed if its documents in the host are more than ``max_docs`` and more
 than ``max_share`` of all of the host's distinct documents.  A document is rejected
 if fewer than ``min_left`` of its words stay.  The plain rules reject short and
 repetitive documents first.
 
-Counting goes by (host, line, sketch) and then by (host, line), both partly before
-the shuffle; lines above the limits are few by the limits themselves, and join the
+A document for each (host, sketch) is picked first; its lines are counted by
+(host, line), partly before the shuffle; lines above the limits are few by the limits themselves, and join the
 documents' lines as a side whose size Spark knows.
 
 Defined cases: a null text has no words and fails the plain rules; a null host is a
@@ -88,6 +89,11 @@ def line_hashes(text: bytes | None) -> tuple[list[int], list[int]]:
     return list(found), list(found.values())
 
 
+def line_set(hashes: list[int]) -> int | None:
+    """A hash of a set of line hashes."""
+    return int.from_bytes(hashlib.md5(np.sort(np.array(hashes, np.int64)).astype("<i8").tobytes()).digest()[:8], "big", signed=True) if hashes else None
+
+
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim()
     for batch in batches:
@@ -98,7 +104,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             hashes.append(h)
             counts.append(n)
         table = np.array(got, np.int64).reshape(-1, 5)
-        sketch = [min(h) if h else None for h in hashes]
+        sketch = [line_set(h) for h in hashes]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(5)), pa.array(sketch, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))],
             [x.split()[0] for x in FEATURES.split(", ")],
@@ -115,10 +121,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.alias("host"), F.xxhash64(host, text).alias("rk"), text.alias("text"))
     slim = materialize(wide.mapInArrow(_feature_rows, FEATURES).withColumn("row", F.monotonically_increasing_id()), "quality")
 
-    held = slim.select("host", "sketch", F.explode("lines").alias("line"))
-    # the sketch of a document is a line of its own: one row less than distinct documents where it is that line
-    by_line = held.groupBy("host", "line", "sketch").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    by_host = slim.where(F.col("sketch").isNotNull()).groupBy("host", "sketch").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
+    one = slim.where(F.col("sketch").isNotNull()).groupBy("host", "sketch").agg(F.min("row").alias("row"))
+    by_line = slim.select("row", "host", "lines").join(one.select("row"), "row", "left_semi").select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    by_host = one.groupBy("host").agg(F.count("*").alias("of"))
     frequent = by_line.where(F.col("n") > max_docs).join(by_host, "host").where(F.col("n") > max_share * F.col("of")).select("host", "line")
 
     lines = slim.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
