@@ -1,6 +1,6 @@
 """Directed lead-lag graphs: lagged correlation, sparsification, edge curvature, triangles.
 
-Pairs of assets at a lag come from one self-join on time; all else is grouped sums and equi-joins on vertices.
+Pairs of assets at a lag come from products of blocks (``gram``); all else is grouped sums and equi-joins on vertices.
 """
 
 from __future__ import annotations
@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from .gram import moments, pair_sums
 
+#: A variance under this share of the mean square is none.
+TINY = 1e-12
 LAGS = (1, 2, 3, 5)
 
 
@@ -17,16 +20,12 @@ def lagged_correlation(panel: DataFrame, lags: tuple[int, ...] = LAGS, by: tuple
     """(*by, lag, i, j, c): Pearson correlation of asset i with asset j ``lag`` later; 0 without variance or with missing values."""
     if any(k < 1 for k in lags):
         raise ValueError("lags start at 1")
-    shifts = F.explode(F.array(*(F.lit(k) for k in lags)))
-    a = panel.select(*by, F.col("t").alias("ta"), F.col("asset_idx").alias("i"), F.col("r").alias("x"), shifts.alias("lag")).withColumn("t", F.col("ta") + F.col("lag"))
-    b = panel.select(*by, "t", F.col("asset_idx").alias("j"), F.col("r").alias("y"))
-    pairs = a.join(b, [*by, "t"]).where("i <> j")
-    n = F.count(F.lit(1))
-    cov = F.sum(F.col("x") * F.col("y")) / n - F.avg("x") * F.avg("y")
-    vx, vy = F.var_pop("x"), F.var_pop("y")
-    whole = (F.count("x") == n) & (F.count("y") == n) & (vx > 0) & (vy > 0)
+    sums = pair_sums(panel, tuple(lags), by).where("i <> j")
+    n = F.col("n")
+    cov, vx, vy = moments(n)
+    whole = (F.col("nx") == n) & (F.col("ny") == n) & (F.col("sxx") > 0) & (F.col("syy") > 0) & (vx > TINY * F.col("sxx") / n) & (vy > TINY * F.col("syy") / n)
     c = F.when(whole, F.try_divide(cov, F.sqrt(vx * vy))).otherwise(F.lit(0.0))
-    return pairs.groupBy(*by, "lag", "i", "j").agg(F.coalesce(c, F.lit(0.0)).alias("c"))
+    return sums.select(*by, "lag", "i", "j", F.coalesce(c, F.lit(0.0)).alias("c"))
 
 
 def signed_lead_lag(correlation: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -54,9 +53,14 @@ def sparsify(pairs: DataFrame, mode: str = "quantile", threshold: float = 0.9, m
     )
 
 
+def positive(weight):
+    """The weight; a plan fails where it isn't positive."""
+    return F.when(weight > 0, weight).otherwise(F.raise_error(F.lit("edge weights must be positive")).cast("double"))
+
+
 def forman_undirected(edges: DataFrame, weighted: bool = True, name: str = "f") -> DataFrame:
     """``edges`` with 4 - sqrt(w) (S[src] + S[dst]), S the sum of w^-1/2 at a vertex."""
-    w = F.col("weight") if weighted else F.lit(1.0)
+    w = positive(F.col("weight")) if weighted else F.lit(1.0)
     ends = edges.select(F.explode(F.array("src", "dst")).alias("v"), (1 / F.sqrt(w)).alias("h"))
     at = ends.groupBy("v").agg(F.sum("h").alias("s"))
     e = edges.join(at.toDF("src", "s_src"), "src").join(at.toDF("dst", "s_dst"), "dst")
@@ -67,7 +71,7 @@ def forman(edges: DataFrame, weighted: bool = True, flow: str = "bottleneck", na
     """``edges`` with the directed Forman curvature: 2 - sqrt(w) (I[src] + O[dst] - 2 w_rev^-1/2), or through flow: 4 - sqrt(w) (O[src] + I[dst])."""
     if flow not in ("bottleneck", "through"):
         raise ValueError(f"unknown flow {flow!r}")
-    w = F.col("weight") if weighted else F.lit(1.0)
+    w = positive(F.col("weight")) if weighted else F.lit(1.0)
     half = edges.select("src", "dst", (1 / F.sqrt(w)).alias("h"))
     into = half.groupBy(F.col("dst").alias("v")).agg(F.sum("h").alias("into"))
     out = half.groupBy(F.col("src").alias("v")).agg(F.sum("h").alias("out"))
@@ -96,6 +100,14 @@ def triangles(edges: DataFrame, mode: str = "common", name: str = "m") -> DataFr
     return edges.join(found, ["src", "dst"], "left").fillna(0, [name]).select(*edges.columns, name)
 
 
+def measures(edges: DataFrame, alpha: float = 0.0) -> DataFrame:
+    """(x, v, mass) of every vertex with an edge: ``alpha`` stays, the rest goes to the neighbours by weight, without direction."""
+    both = edges.select(F.col("src").alias("x"), F.col("dst").alias("v"), "weight").union(edges.select("dst", "src", "weight")).groupBy("x", "v").agg(F.max("weight").alias("weight"))
+    total = both.groupBy("x").agg(F.sum("weight").alias("total"))
+    away = both.join(total, "x").select("x", "v", ((1 - alpha) * F.col("weight") / F.col("total")).alias("mass"))
+    return away.union(total.select("x", F.col("x").alias("v"), F.lit(float(alpha)).alias("mass"))) if alpha > 0 else away
+
+
 def four_objects(edges: DataFrame) -> DataFrame:
     """Plain, weighted and augmented curvature and the triangles of every edge."""
     e = triangles(forman(forman(edges, False, name="f_plain"), True, name="f_weighted"))
@@ -158,11 +170,11 @@ def curvature_gap(edges: DataFrame, labels: DataFrame, value: str = "f_augmented
     return e.agg(gap.alias("gap"), F.avg(a).alias("within"), F.avg(b).alias("across"), F.count(a).alias("n_within"), F.count(b).alias("n_across"))
 
 
-def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: sum over labels of L/m - (d/2m)^2, without direction or weight."""
-    e = edges.join(labels.toDF("src", "la"), "src").join(labels.toDF("dst", "lb"), "dst")
-    total = edges.agg(F.count("*").alias("total"))
-    each = e.select(F.explode(F.array("la", "lb")).alias("label"), (F.col("la") == F.col("lb")).cast("int").alias("same")).groupBy("label").agg(F.count("*").alias("d"), (F.sum("same") / 2).alias("inside"))
+def modularity(edges: DataFrame, labels: DataFrame, weighted: bool = True) -> DataFrame:
+    """One row: sum over labels of L/m - (d/2m)^2, without direction, by weight unless told otherwise."""
+    e = edges.select("src", "dst", (F.col("weight") if weighted else F.lit(1.0)).alias("w")).join(labels.toDF("src", "la"), "src").join(labels.toDF("dst", "lb"), "dst")
+    total = e.agg(F.sum("w").alias("total"))
+    each = e.select(F.explode(F.array("la", "lb")).alias("label"), "w", (F.col("la") == F.col("lb")).cast("int").alias("same")).groupBy("label").agg(F.sum("w").alias("d"), (F.sum(F.col("same") * F.col("w")) / 2).alias("inside"))
     part = F.col("inside") / F.col("total") - F.pow(F.col("d") / (2 * F.col("total")), F.lit(2))
     return each.crossJoin(F.broadcast(total)).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("q"))
 

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gram import pair_sums
+
 
 def market_factor(panel: DataFrame) -> DataFrame:
     """(t, market): the mean over assets; null if any return is missing, as a missing value poisons the mean."""
@@ -52,11 +54,14 @@ def _two_regressors(rows: DataFrame, x: str, z: str) -> DataFrame:
     for c in ("r", x, z):
         rows = rows.withColumn(f"d_{c}", F.col(c) - F.avg(c).over(w))
     s = lambda a, b: F.sum(F.col(f"d_{a}") * F.col(f"d_{b}")).over(w)
-    rows = rows.withColumns({"xx": s(x, x), "zz": s(z, z), "xz": s(x, z), "rx": s("r", x), "rz": s("r", z)})
+    rows = rows.withColumns({"xx": s(x, x), "zz": s(z, z), "xz": s(x, z), "rx": s("r", x), "rz": s("r", z), "n": F.count("r").over(w)})
     det = F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz")
     whole = F.abs(det) > 1e-12 * F.col("xx") * F.col("zz")
-    bx = F.when(whole, F.try_divide(F.col("rx") * F.col("zz") - F.col("rz") * F.col("xz"), det)).otherwise(F.coalesce(F.try_divide(F.col("rx"), F.col("xx")), F.lit(0.0)))
-    bz = F.when(whole, F.try_divide(F.col("rz") * F.col("xx") - F.col("rx") * F.col("xz"), det)).otherwise(F.lit(0.0))
+    # a regressor without variance is left out; of two that tell the same the first stays
+    flat_x = F.col("xx") <= 1e-24 * F.col("n")
+    alone = lambda r, v: F.coalesce(F.try_divide(F.col(r), F.when(F.col(v) > 1e-24 * F.col("n"), F.col(v))), F.lit(0.0))
+    bx = F.when(whole, F.try_divide(F.col("rx") * F.col("zz") - F.col("rz") * F.col("xz"), det)).otherwise(alone("rx", "xx"))
+    bz = F.when(whole, F.try_divide(F.col("rz") * F.col("xx") - F.col("rx") * F.col("xz"), det)).otherwise(F.when(flat_x, alone("rz", "zz")).otherwise(0.0))
     return rows.withColumn("r", F.col("d_r") - bx * F.col(f"d_{x}") - bz * F.col(f"d_{z}"))
 
 
@@ -68,16 +73,15 @@ def on_two_factors(panel: DataFrame, factors: DataFrame) -> DataFrame:
 def principal(panel: DataFrame, k: int) -> DataFrame:
     """``panel`` with r replaced by its residual on the k largest principal components of the demeaned columns.
 
-    The Gram matrix of the assets is summed by a join on time; only it (assets squared) comes to the driver, and
+    The Gram matrix of the assets is summed by products of blocks; only it (assets squared) comes to the driver, and
     only the loadings go back, so no axis of time is ever in one place.
     """
     w = Window.partitionBy("asset_idx")
     rows = panel.withColumn("__d", F.col("r") - F.avg("r").over(w))
-    a, b = rows.select("t", F.col("asset_idx").alias("i"), F.col("__d").alias("x")), rows.select("t", F.col("asset_idx").alias("j"), F.col("__d").alias("y"))
-    gram = a.join(b, "t").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g")).toPandas().pivot(index="i", columns="j", values="g").fillna(0.0)
+    sums = pair_sums(rows.withColumn("r", F.col("__d")), (0,)).select("i", "j", F.col("sxy").alias("g"))
+    gram = sums.toPandas().pivot(index="i", columns="j", values="g").fillna(0.0)  # assets squared
     vectors = np.linalg.eigh(gram.to_numpy())[1][:, ::-1][:, :k]
     loads = panel.sparkSession.createDataFrame([(int(v), c, float(vectors[n, c])) for n, v in enumerate(gram.index) for c in range(vectors.shape[1])], "asset_idx int, c int, load double")
-    loads = F.broadcast(loads)  # k numbers an asset
     scores = rows.join(loads, "asset_idx").groupBy("t", "c").agg(F.sum(F.col("__d") * F.col("load")).alias("score"))
     fit = scores.join(loads, "c").groupBy("t", "asset_idx").agg(F.sum(F.col("score") * F.col("load")).alias("fit"))
     return rows.join(fit, ["t", "asset_idx"]).withColumn("r", F.col("__d") - F.col("fit")).select(*panel.columns)

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..operators import graphs, residuals, signals, windows
-from ..sources import panels
+from ..sources import files, panels
 from ..sources.scratch import materialize
 from .studies import _edges, _panel, _r
 
 WIDTH, STEP = 63, 21
+#: Resamples of edges and of information coefficients.
+BOOTS, IC_BOOTS = 25, 100
 
 
 def _nodes(panel: DataFrame) -> DataFrame:
@@ -32,12 +34,15 @@ def _lead(panel: DataFrame, q: float, by: tuple[str, ...] = ()) -> DataFrame:
 def panel_pivot_avg(spark, d):
     o, c, n, r = (panels.table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
     rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    wide = rows.groupBy(F.year("o_orderdate").alias("y")).pivot("r_name", ["AFRICA", "AMERICA", "ASIA", "EUROPE"]).agg(F.avg("o_totalprice"))
-    return _r(wide.toDF("y", "africa", "america", "asia", "europe"), "africa", "america", "asia", "europe")
+    regions = sorted(x.r_name for x in r.select("r_name").distinct().collect())  # a dimension: its names become columns
+    names = [x.lower().replace(" ", "_") for x in regions]
+    wide = rows.groupBy(F.year("o_orderdate").alias("y")).pivot("r_name", regions).agg(F.avg("o_totalprice"))
+    return _r(wide.toDF("y", *names), *names)
 
 
 def panel_unpivot(spark, d):
-    return panel_pivot_avg(spark, d).unpivot(["y"], ["africa", "america", "asia", "europe"], "region", "v").where("v is not null")
+    wide = panel_pivot_avg(spark, d)
+    return wide.unpivot(["y"], wide.columns[1:], "region", "v").where("v is not null")
 
 
 def bars_volume(spark, d):
@@ -58,12 +63,11 @@ def name_normalize(spark, d):
 
 
 def fuzzy_contains_join(spark, d):
+    """Names matched with the first word, in the order of the parts it stands on, that holds them or that they hold."""
     part = panels.table(spark, d, "part")
     names = part.select(panels.normalized(F.col("p_name")).alias("name")).distinct()
-    words = part.select(F.explode(F.split(F.upper("p_name"), " ")).alias("word")).distinct().where("length(word) >= 4")
-    # the distinct words of names are a vocabulary, not a table of rows
-    hits = names.where("length(name) >= 3").join(words, F.col("name").contains(F.col("word")))
-    return hits.groupBy("name").agg(F.min("word").alias("word"))
+    words = part.select(F.explode(F.split(F.upper("p_name"), " ")).alias("word"), "p_partkey").groupBy("word").agg(F.min("p_partkey").alias("at"))
+    return panels.contained(names, words, "name", "word", "at").select("name", "word")
 
 
 def resid_market_sector(spark, d):
@@ -166,8 +170,8 @@ def bh_adjust(spark, d):
 
 
 def walk_forward_windows(spark, d):
-    w = windows.trailing(_panel(spark, d), 104, 52, 26)
-    return w.select("wid", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("end") + 26).cast("long").alias("test_end"))
+    w = windows.walk_forward(_panel(spark, d), 104, 26, 26)
+    return w.select("wid", *(F.col(c).cast("long").alias(c) for c in ("start", "end", "test_end")))
 
 
 def _train(spark, d):
@@ -248,13 +252,13 @@ def mean_reversion_pnl(spark, d):
 
 
 def bootstrap_edges(spark, d):
-    boots = materialize(windows.blocks(_panel(spark, d), 4, 20), "boots")
-    return _lead(boots, 0.9, ("boot",)).groupBy("src", "dst").agg((F.count("*") / 4).alias("share"))
+    boots = materialize(windows.blocks(_panel(spark, d), BOOTS, 20), "boots")
+    return _lead(boots, 0.9, ("boot",)).groupBy("src", "dst").agg((F.count("*") / BOOTS).alias("share"))
 
 
 def bootstrap_rank_stability(spark, d):
     """Mean of the rank correlations of curvature over the edges that two resamples share."""
-    boots = materialize(windows.blocks(_panel(spark, d), 4, 20), "boots")
+    boots = materialize(windows.blocks(_panel(spark, d), BOOTS, 20), "boots")
     f = materialize(_plain_by(_lead(boots, 0.7, ("boot",)), "boot").withColumn("f", F.round("f", 9)), "curvature")
     both = f.select("src", "dst", F.col("boot").alias("x"), F.col("f").alias("fx")).join(f.select("src", "dst", F.col("boot").alias("y"), F.col("f").alias("fy")), ["src", "dst"]).where("x < y")
     return _r(ranks.spearman(both, "fx", "fy", ["x", "y"]).select("x", "y", "rho", "n"), "rho")
@@ -263,17 +267,15 @@ def bootstrap_rank_stability(spark, d):
 def bootstrap_ic(spark, d):
     train, test, pairs = _correlated(spark, d)
     first = test.agg(F.min("t").alias("first"))
-    shifted = test.crossJoin(F.broadcast(first)).withColumn("t", F.col("t") - F.col("first")).drop("first")
-    boots = materialize(windows.blocks(shifted, 20, 10), "boots")
+    shifted = test.crossJoin(F.broadcast(first)).withColumn("t", F.col("t") - F.col("first")).drop("first")  # one row
+    boots = materialize(windows.blocks(shifted, IC_BOOTS, 10), "boots")
     rows = _steady(_boot_forecasts(train, boots, pairs))
     ic = signals.pair_ic(rows.withColumn("lag", F.struct("boot", "lag"))).groupBy("lag.boot").agg(F.avg("ic").alias("ic"))
     return _r(ic.agg(F.avg("ic").alias("mean_ic"), F.percentile("ic", F.lit(0.025)).alias("low"), F.percentile("ic", F.lit(0.975)).alias("high")), "mean_ic", "low", "high")
 
 
 def _boot_forecasts(train: DataFrame, boots: DataFrame, pairs: DataFrame) -> DataFrame:
-    c = signals._shifted(train, pairs).groupBy("leader", "lagger", "lag").agg(ranks.guarded_corr(F.col("x"), F.col("y")).alias("c")).where("c is not null")
-    sign = c.select("leader", "lagger", "lag", F.when(F.round("c", 9) < 0, -1.0).otherwise(1.0).alias("sign"))
-    rows = signals._shifted(boots, pairs, ("boot",)).join(sign, ["leader", "lagger", "lag"])
+    rows = signals._shifted(boots, pairs, ("boot",)).join(signals.signs(train, pairs), ["leader", "lagger", "lag"])
     return rows.select("boot", "leader", "lagger", "lag", (F.col("sign") * F.col("x")).alias("fore"), F.col("y").alias("real"))
 
 
@@ -317,7 +319,7 @@ def roll_curv_vol(spark, d):
 
 
 def roll_partial_spearman(spark, d):
-    """Curvature with later volatility, without what the present volatility explains."""
+    """Curvature with later volatility, without what a linear fit on the present volatility explains."""
     out = materialize(roll_curv_vol(spark, d), "rolled")
     return _r(ranks.partial_spearman(out, "curv_ll", "vol_fwd", "vol_now"), "rho")
 
@@ -384,31 +386,50 @@ def shock_spillover(spark, d):
     return _r(ranks.spearman(kinds, "fore", "real", ["kind"]).select("kind", "rho", "n"), "rho")
 
 
-def _long_short(scores: DataFrame) -> DataFrame:
-    """(wid, spread): mean of the next returns of the highest fifth (three at least) less the lowest, windows of ten names or more."""
+def _long_short(scores: DataFrame, least: int) -> DataFrame:
+    """(wid, spread): mean of the next returns of the highest fifth (three at least) less the lowest, windows of ``least`` names or more."""
     w = Window.partitionBy("wid")
     n = F.count("*").over(w)
-    rows = scores.withColumns({"n": n, "up": F.row_number().over(w.orderBy("score", "asset_idx"))}).where("n >= 10")
+    rows = scores.withColumns({"n": n, "up": F.row_number().over(w.orderBy("score", "asset_idx"))}).where(F.col("n") >= least)
     k = F.greatest(F.floor(F.col("n") / 5), F.lit(3))
     return rows.groupBy("wid").agg((F.avg(F.when(F.col("up") > F.col("n") - k, F.col("next"))) - F.avg(F.when(F.col("up") <= k, F.col("next")))).alias("spread"))
 
 
+def _compound(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg((F.product(1 + F.col("r")) - 1).alias(name))
+
+
+def _simple(p: DataFrame) -> DataFrame:
+    """Logarithmic changes of the fixture as simple returns, held to (-50 %, 100 %) as weeks without a sale have none."""
+    return p.withColumn("r", F.greatest(F.least(F.exp("r") - 1, F.lit(1.0)), F.lit(-0.5)))
+
+
 def _next_returns(p: DataFrame, w: DataFrame) -> DataFrame:
-    return windows.within(p, w, "end", f"end + {STEP}").groupBy("wid", "asset_idx").agg(F.sum("r").alias("next"))
+    return _compound(windows.within(_simple(p), w, "end", f"end + {STEP}"), "next", "wid", "asset_idx")
 
 
 def centrality_ls(spark, d):
+    """Next returns of central assets less those at the rim; the more negative its mean curvature, the more central is an asset."""
     p, w, rows = _rolling(spark, d)
-    e = _lead(rows, 0.9, ("wid",)).groupBy("wid", F.col("src").alias("asset_idx")).agg(F.count("*").alias("score"))
-    return _r(_long_short(_next_returns(p, w).join(e, ["wid", "asset_idx"], "left").fillna(0, ["score"])), "spread")
+    e = materialize(_plain_by(_lead(rows, 0.9, ("wid",)), "wid"), "curved")
+    score = e.select("wid", F.explode(F.array("src", "dst")).alias("asset_idx"), "f").groupBy("wid", "asset_idx").agg(F.round(-F.avg("f"), 9).alias("score"))
+    return _r(_long_short(_next_returns(p, w).join(score, ["wid", "asset_idx"]), 1), "spread")
 
 
 def link_momentum_ls(spark, d):
-    """What leaders did last, carried along the edges to laggers."""
+    """What leaders did last, carried along the edges between sectors to laggers."""
     p, w, rows = _rolling(spark, d)
-    last = windows.within(p, w, "end - 4", "end").groupBy("wid", F.col("asset_idx").alias("src")).agg(F.sum("r").alias("move"))
-    score = _lead(rows, 0.7, ("wid",)).join(last, ["wid", "src"]).groupBy("wid", F.col("dst").alias("asset_idx")).agg(F.round(F.avg(F.signum("signed") * F.col("move")), 9).alias("score"))
-    return _r(_long_short(_next_returns(p, w).join(score, ["wid", "asset_idx"])), "spread")
+    last = _compound(windows.within(_simple(p), w, f"end - {STEP}", "end"), "move", "wid", "asset_idx").withColumnRenamed("asset_idx", "src")
+    sectors = p.select(F.col("asset_idx").alias("asset"), "sector").distinct()
+    edges = files.cross_sector(_lead(rows, 0.7, ("wid",)), sectors)
+    score = edges.join(last, ["wid", "src"]).groupBy("wid", F.col("dst").alias("asset_idx")).agg(F.round(F.avg(F.signum("signed") * F.col("move")), 9).alias("score"))
+    return _r(_long_short(_next_returns(p, w).join(score, ["wid", "asset_idx"]), 10), "spread")
+
+
+def long_short_summary(spark, d):
+    """Mean, t statistic, Sharpe ratio of a year of periods, share of wins and the normal interval of both long-short studies."""
+    both = centrality_ls(spark, d).withColumn("study", F.lit("centrality")).unionByName(link_momentum_ls(spark, d).withColumn("study", F.lit("link momentum")))
+    return _r(ranks.summary(both, "spread", ["study"], 12), "mean", "t", "sharpe", "wins", "low", "high")
 
 
 def link_enrichment(spark, d):
@@ -452,5 +473,5 @@ QUERIES = [
     forman_undirected, triangles_common, forman_augmented, corr_graph_forman, node_curvature, clustering_coeff, triangle_density, density_sweep, curvature_gap, modularity_by_region, components_after_cut,
     edge_abs_corr, resid_orthogonalization, bh_adjust, walk_forward_windows, select_curvature, select_correlation, orient_pairs, select_undirected, select_random, directional_ic, directional_ic_grouped,
     pooled_ic, mean_reversion_pnl, bootstrap_edges, bootstrap_rank_stability, bootstrap_ic, roll_curv_vol, roll_partial_spearman, roll_drawdown, roll_gini, roll_moments, roll_lead_h, regime_coupling,
-    yoy_diff_vol, shock_spillover, centrality_ls, link_momentum_ls, link_enrichment, candidate_grid, critic_decisions,
+    yoy_diff_vol, shock_spillover, centrality_ls, link_momentum_ls, long_short_summary, link_enrichment, candidate_grid, critic_decisions,
 ]

@@ -47,8 +47,9 @@ def spear(src: str, x: str, y: str, part: str = "") -> str:
 
 
 def partial(src: str, x: str, y: str, z: str) -> str:
-    return f"""SELECT round((ab - az * bz) / sqrt((1 - az * az) * (1 - bz * bz)), 6) + 0.0 AS rho, n FROM (SELECT {corr("a", "b")} AS ab, {corr("a", "z")} AS az, {corr("b", "z")} AS bz, count(*) AS n
-FROM (SELECT {ranked(x)} AS a, {ranked(y)} AS b, {ranked(z)} AS z FROM {src}))"""
+    """Linear residuals on z, then their ranks."""
+    fit = lambda c: f"round({c} - (SELECT regr_intercept({c}, {z}) FROM {src}) - (SELECT regr_slope({c}, {z}) FROM {src}) * {z}, 9)"
+    return f", left_ AS (SELECT {fit(x)} AS lx, {fit(y)} AS ly FROM {src}) {spear('left_', 'lx', 'ly')}"
 
 
 _NODES = "nodes AS (SELECT DISTINCT asset_idx AS v, sector AS label FROM panel)"
@@ -74,7 +75,7 @@ def pair_ic(key: str = "") -> str:
 
 def blocks(src: str, boots: int, block: int) -> str:
     return f"""nt AS (SELECT max(t) + 1 AS n FROM {src}),
-starts AS (SELECT boot, k, (boot * 7919 + k * 104729 + boot * k * 31) % greatest(n - {block}, 1) AS start, n FROM nt, range({boots}) r(boot), range(100) s(k) WHERE k * {block} < n),
+starts AS (SELECT boot, k, CAST('0x' || substr(md5('0-' || boot || '-' || k), 1, 8) AS BIGINT) % greatest(n - {block}, 1) AS start, n FROM nt, range({boots}) r(boot), range(100) s(k) WHERE k * {block} < n),
 boots AS (SELECT boot, k * {block} + o AS t, asset_idx, r FROM starts, range({block}) u(o), {src} p WHERE start + o < n AND k * {block} + o < n AND p.t = start + o)"""
 
 
@@ -92,9 +93,16 @@ rolled AS (SELECT wid, round(curv_corr, 6) + 0.0 AS curv_corr, n_edges, round(cu
   FROM (SELECT ce.wid, avg(4 - p.d - q.d) AS curv_corr, count(*) AS n_edges FROM ce JOIN deg p ON p.wid = ce.wid AND p.v = ce.i JOIN deg q ON q.wid = ce.wid AND q.v = ce.j GROUP BY ALL)
   JOIN (SELECT wid, avg(f) AS curv_ll FROM wf GROUP BY ALL) USING (wid) JOIN (SELECT wid, stddev_samp(m) AS vol_now FROM market JOIN w ON t >= a AND t < b GROUP BY ALL) USING (wid)
   JOIN (SELECT wid, stddev_samp(m) AS vol_fwd FROM market JOIN w ON t >= b AND t < b + 21 GROUP BY ALL) USING (wid))"""
-_NEXT = "nxt AS (SELECT wid, asset_idx, sum(r) AS nxt FROM panel JOIN w ON t >= b AND t < b + 21 GROUP BY ALL)"
+_SIMPLE = "simple AS (SELECT t, asset_idx, greatest(least(exp(r) - 1, 1.0), -0.5) AS r FROM panel)"
+_NEXT = f"{_SIMPLE}, nxt AS (SELECT wid, asset_idx, product(1 + r) - 1 AS nxt FROM simple JOIN w ON t >= b AND t < b + 21 GROUP BY ALL)"
+
+
+def long_short(least: int) -> str:
+    return f"{_LS} WHERE n >= {least} GROUP BY wid"
+
+
 _LS = """SELECT wid, round(avg(nxt) FILTER (up > n - greatest(n // 5, 3)) - avg(nxt) FILTER (up <= greatest(n // 5, 3)), 6) + 0.0 AS spread
-FROM (SELECT *, count(*) OVER (PARTITION BY wid) AS n, row_number() OVER (PARTITION BY wid ORDER BY score, asset_idx) AS up FROM scores) WHERE n >= 10 GROUP BY wid"""
+FROM (SELECT *, count(*) OVER (PARTITION BY wid) AS n, row_number() OVER (PARTITION BY wid ORDER BY score, asset_idx) AS up FROM scores)"""
 _PIVOT = """SELECT year(o_orderdate) AS y, r_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
 
@@ -124,14 +132,22 @@ resid AS (SELECT t, asset_idx, r - ar - b * (m - am) AS r FROM panel JOIN fm USI
 
 _NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(upper({x}), '[^A-Z0-9 ]', ' ', 'g'), '\b(CL A|CORP|INC|CO|LTD|PLC|GROUP|HOLDINGS)\b', ' ', 'g'), ' +', ' ', 'g'))"
 
+_CENTRAL = f"""{_W}, {_WE(0.9)}, {weighted("we", "wf", "wid")}, {_NEXT}, sc AS (SELECT wid, v AS asset_idx, round(-avg(f), 9) AS score FROM (SELECT wid, src AS v, f FROM wf UNION ALL SELECT wid, dst, f FROM wf) GROUP BY ALL),
+scores AS (SELECT * FROM nxt JOIN sc USING (wid, asset_idx))"""
+_MOMENTUM = f"""{_W}, {_WE(0.7)}, {_NEXT}, mv AS (SELECT wid, asset_idx, product(1 + r) - 1 AS move FROM simple JOIN w ON t >= b - 21 AND t < b GROUP BY ALL), {_NODES},
+sc AS (SELECT we.wid, we.dst AS asset_idx, round(avg(sign(signed) * move), 9) AS score FROM we JOIN mv ON mv.wid = we.wid AND mv.asset_idx = we.src JOIN nodes x ON x.v = we.src JOIN nodes y ON y.v = we.dst WHERE x.label <> y.label GROUP BY ALL),
+scores AS (SELECT * FROM nxt JOIN sc USING (wid, asset_idx))"""
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
 ORACLES = {
-    "panel_pivot_avg": f"SELECT y, {', '.join(f'round(avg(o_totalprice) FILTER (r_name = {chr(39)}{r}{chr(39)}), 6) + 0.0 AS {r.lower()}' for r in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE'))} FROM ({_PIVOT}) GROUP BY y",
-    "panel_unpivot": f"SELECT y, lower(r_name) AS region, round(avg(o_totalprice), 6) + 0.0 AS v FROM ({_PIVOT}) WHERE r_name IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE') GROUP BY ALL",
+    "panel_pivot_avg": f"SELECT y, {', '.join(f'round(avg(o_totalprice) FILTER (r_name = {chr(39)}{r}{chr(39)}), 6) + 0.0 AS {r.lower().replace(chr(32), chr(95))}' for r in _REGIONS)} FROM ({_PIVOT}) GROUP BY y",
+    "panel_unpivot": f"SELECT y, replace(lower(r_name), ' ', '_') AS region, round(avg(o_totalprice), 6) + 0.0 AS v FROM ({_PIVOT}) GROUP BY ALL",
     "bars_volume": "SELECT user_id % 20 AS asset, time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01') AS bar, round(sum(value), 6) + 0.0 AS volume, count(*) AS n FROM events GROUP BY ALL",
     "effective_link_join": """WITH o AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS a FROM orders), l AS (SELECT *, lead(a) OVER (PARTITION BY o_custkey ORDER BY a, o_orderkey) - 1 AS b FROM o)
 SELECT l_orderkey, l_linenumber, l.o_orderkey AS link FROM lineitem JOIN o ON l_orderkey = o.o_orderkey JOIN l ON l.o_custkey = o.o_custkey AND CAST(l_shipdate AS DATE) >= l.a AND (l.b IS NULL OR CAST(l_shipdate AS DATE) <= l.b)""",
     "name_normalize": f"SELECT p_partkey, {_NORMAL.format(x=chr(40) + 'concat_ws(' + chr(39) + ' ' + chr(39) + ', p_name, ' + chr(39) + 'Corp. CL A' + chr(39) + '))')} AS name FROM part",
-    "fuzzy_contains_join": f"SELECT name, min(word) AS word FROM (SELECT DISTINCT {_NORMAL.format(x='p_name')} AS name FROM part) JOIN (SELECT DISTINCT unnest(string_split(upper(p_name), ' ')) AS word FROM part) ON contains(name, word) WHERE length(name) >= 3 AND length(word) >= 4 GROUP BY name",
+    "fuzzy_contains_join": f"""SELECT name, arg_min(word, struct_pack(a := k, b := word)) AS word FROM (SELECT DISTINCT {_NORMAL.format(x='p_name')} AS name FROM part)
+JOIN (SELECT word, min(p_partkey) AS k FROM (SELECT unnest(string_split(upper(p_name), ' ')) AS word, p_partkey FROM part) GROUP BY word) ON contains(name, word) OR contains(word, name) WHERE length(name) >= 4 AND length(word) >= 4 GROUP BY name""",
     "resid_market_sector": f"""WITH {_PANEL}, reg AS (SELECT t, asset, r, avg(r) OVER (PARTITION BY t) AS m, coalesce((sum(r) OVER s - r) / nullif(count(*) OVER s - 1, 0), 0) AS p FROM panel WINDOW s AS (PARTITION BY t, sector)), {_two("m", "p")}""",
     "resid_factors": f"""WITH {_PANEL}, reg AS (SELECT t, asset, r, avg(r) FILTER (sector = 'ASIA') OVER (PARTITION BY t) AS f1, avg(r) FILTER (sector = 'EUROPE') OVER (PARTITION BY t) AS f2 FROM panel), {_two("f1", "f2")}""",
     "lagged_corr_grouped": f"""WITH {_PANEL}, z AS (SELECT t, asset_idx, t // 10 AS g, coalesce((r - avg(r) OVER w) / nullif(stddev_samp(r) OVER w, 0), 0) AS z FROM panel WINDOW w AS (PARTITION BY asset_idx))
@@ -158,8 +174,8 @@ k AS (SELECT (SELECT count(*) FROM nb p JOIN nb q ON p.x = q.x WHERE p.a = e.src
     ),
     "curvature_gap": f"""WITH {_CURV}, {_NODES}, x AS (SELECT f_weighted + 3 * m AS x, p.label = q.label AS same FROM curv JOIN nodes p ON p.v = src JOIN nodes q ON q.v = dst)
 SELECT round((avg(x) FILTER (same) - avg(x) FILTER (NOT same)) / sqrt((var_samp(x) FILTER (same) + var_samp(x) FILTER (NOT same)) / 2), 6) + 0.0 AS gap, round(avg(x) FILTER (same), 6) + 0.0 AS within, round(avg(x) FILTER (NOT same), 6) + 0.0 AS across, count(*) FILTER (same) AS n_within, count(*) FILTER (NOT same) AS n_across FROM x""",
-    "modularity_by_region": f"""WITH {_E7}, {_NODES}, e AS (SELECT p.label AS a, q.label AS b FROM edges JOIN nodes p ON p.v = src JOIN nodes q ON q.v = dst), m AS (SELECT count(*) AS m FROM e)
-SELECT round(sum(l / m - power(d / (2.0 * m), 2)), 6) + 0.0 AS q FROM (SELECT g.label, (SELECT count(*) FROM e WHERE a = g.label AND b = g.label) AS l, (SELECT count(*) FROM e WHERE a = g.label) + (SELECT count(*) FROM e WHERE b = g.label) AS d FROM (SELECT DISTINCT label FROM nodes) g), m""",
+    "modularity_by_region": f"""WITH {_E7}, {_NODES}, e AS (SELECT p.label AS a, q.label AS b, weight AS x FROM edges JOIN nodes p ON p.v = src JOIN nodes q ON q.v = dst), m AS (SELECT sum(x) AS m FROM e)
+SELECT round(sum(l / m - power(d / (2.0 * m), 2)), 6) + 0.0 AS q FROM (SELECT g.label, (SELECT coalesce(sum(x), 0) FROM e WHERE a = g.label AND b = g.label) AS l, (SELECT coalesce(sum(x), 0) FROM e WHERE a = g.label) + (SELECT coalesce(sum(x), 0) FROM e WHERE b = g.label) AS d FROM (SELECT DISTINCT label FROM nodes) g), m""",
     "components_after_cut": f"""WITH RECURSIVE {_CURV}, {_NODES}, kept AS (SELECT src AS a, dst AS b FROM curv WHERE f_plain >= -5 UNION ALL SELECT dst, src FROM curv WHERE f_plain >= -5),
 reach(v, x) AS (SELECT v, v FROM nodes UNION SELECT reach.v, kept.b FROM reach JOIN kept ON kept.a = reach.x) SELECT v, min(x) AS root FROM reach GROUP BY v""",
     "edge_abs_corr": f"WITH {_E9}, {same_time('panel', 'ct')} SELECT src, dst, round(abs(c), 6) + 0.0 AS abs_rho FROM edges JOIN ct ON i = least(src, dst) AND j = greatest(src, dst)",
@@ -168,7 +184,7 @@ u AS (UNPIVOT x ON f_plain, f_weighted, f_augmented INTO NAME object VALUE y), f
 SELECT object, round((p * p + q * q - 2 * p * q * c) / (1 - c * c), 6) + 0.0 AS r2, (p * p + q * q - 2 * p * q * c) / (1 - c * c) > 0.999 AS degree_identity FROM fit""",
     "bh_adjust": f"""WITH {_E9}, p AS (SELECT src, dst, round(1 / (1 + 200 * weight), 6) AS p FROM edges), k AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, src, dst) AS raw FROM p), adj AS (SELECT src, dst, p, least(1.0, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS p_adj FROM k)
 SELECT src, dst, round(p, 6) + 0.0 AS p, round(p_adj, 6) + 0.0 AS p_adj, p_adj <= 0.05 AS reject FROM adj""",
-    "walk_forward_windows": f'WITH {_PANEL}, n AS (SELECT max(t) + 1 AS n FROM panel) SELECT CAST(k AS INT) AS wid, 52 * k AS start, 104 + 52 * k AS "end", 130 + 52 * k AS test_end FROM n, range(100) r(k) WHERE 104 + 52 * k < n - 26',
+    "walk_forward_windows": f'WITH {_PANEL}, n AS (SELECT max(t) + 1 AS n FROM panel) SELECT CAST(k AS INT) AS wid, 26 * k AS start, 104 + 26 * k AS "end", 130 + 26 * k AS test_end FROM n, range(100) r(k) WHERE 26 * k + 104 + 26 <= n',
     "select_curvature": f"""WITH {_SPLIT}, {graph("tl", "e", 0.7)}, nb AS (SELECT DISTINCT * FROM (SELECT src AS a, dst AS x FROM e UNION ALL SELECT dst, src FROM e)),
 f AS (SELECT src, dst, lag, 2.0 - sqrt(e.weight) * (coalesce((SELECT sum(1 / sqrt(y.weight)) FROM e y WHERE y.dst = e.src), 0) + coalesce((SELECT sum(1 / sqrt(y.weight)) FROM e y WHERE y.src = e.dst), 0)) + 3 * (SELECT count(*) FROM nb p JOIN nb q ON p.x = q.x WHERE p.a = e.src AND q.a = e.dst) AS f FROM e)
 SELECT src AS leader, dst AS lagger, lag FROM f ORDER BY round(f, 9), src, dst LIMIT 20""",
@@ -184,13 +200,13 @@ SELECT i AS leader, j AS lagger FROM e JOIN dg p ON p.v = i JOIN dg q ON q.v = j
 z AS (SELECT *, CASE WHEN count(*) OVER k = 10 THEN round((s - avg(s) OVER k) / nullif(stddev_samp(s) OVER k, 0), 9) END AS z FROM s WINDOW k AS (PARTITION BY leader, lagger, lag ORDER BY t ROWS 9 PRECEDING)),
 g AS (SELECT t, coalesce(lag(CASE WHEN abs(z) > 1.0 THEN -sign(z) ELSE 0 END) OVER (PARTITION BY leader, lagger, z.lag ORDER BY t), 0) * d AS g FROM z), bk AS (SELECT t, avg(g) AS g FROM g GROUP BY t)
 SELECT round(CASE WHEN stddev_samp(g) > 0 THEN sqrt(252.0) * avg(g) / stddev_samp(g) END, 6) + 0.0 AS sharpe, round(avg(g), 6) + 0.0 AS mean_daily FROM bk""",
-    "bootstrap_edges": f"WITH {_PANEL}, {blocks('panel', 4, 20)}, {lagged('boots', 'bl', 'boot')}, {graph('bl', 'be', 0.9, 'boot')} SELECT src, dst, count(*) / 4 AS share FROM be GROUP BY ALL",
-    "bootstrap_rank_stability": f"""WITH {_PANEL}, {blocks("panel", 4, 20)}, {lagged("boots", "bl", "boot")}, {graph("bl", "be", 0.7, "boot")}, {weighted("be", "bf", "boot")},
+    "bootstrap_edges": f"WITH {_PANEL}, {blocks('panel', 25, 20)}, {lagged('boots', 'bl', 'boot')}, {graph('bl', 'be', 0.9, 'boot')} SELECT src, dst, count(*) / 25 AS share FROM be GROUP BY ALL",
+    "bootstrap_rank_stability": f"""WITH {_PANEL}, {blocks("panel", 25, 20)}, {lagged("boots", "bl", "boot")}, {graph("bl", "be", 0.7, "boot")}, {weighted("be", "bf", "boot")},
 both_ AS (SELECT p.boot AS x, q.boot AS y, round(p.f, 9) AS fx, round(q.f, 9) AS fy FROM bf p JOIN bf q ON p.src = q.src AND p.dst = q.dst AND p.boot < q.boot) {spear("both_", "fx", "fy", "x, y")}""",
-    "bootstrap_ic": f"""WITH {_CHOSEN}, {_SIGNS}, sh AS (SELECT t - (SELECT min(t) FROM test) AS t, asset_idx, r FROM test), {blocks("sh", 20, 10)}, {forecast("boots", "boot", " AND p.boot = q.boot")}, {pair_ic("boot")},
+    "bootstrap_ic": f"""WITH {_CHOSEN}, {_SIGNS}, sh AS (SELECT t - (SELECT min(t) FROM test) AS t, asset_idx, r FROM test), {blocks("sh", 100, 10)}, {forecast("boots", "boot", " AND p.boot = q.boot")}, {pair_ic("boot")},
 k AS (SELECT boot, avg(ic) AS ic FROM ic GROUP BY boot) SELECT round(avg(ic), 6) + 0.0 AS mean_ic, round(quantile_cont(ic, 0.025), 6) + 0.0 AS low, round(quantile_cont(ic, 0.975), 6) + 0.0 AS high FROM k""",
     "roll_curv_vol": f"WITH {_VOL} SELECT * FROM rolled",
-    "roll_partial_spearman": f"WITH {_VOL} {partial('rolled', 'curv_ll', 'vol_fwd', 'vol_now')}",
+    "roll_partial_spearman": f"WITH {_VOL}{partial('rolled', 'curv_ll', 'vol_fwd', 'vol_now')}",
     "roll_drawdown": f"""WITH {_W}, l AS (SELECT wid, t, exp(sum(m) OVER (PARTITION BY wid ORDER BY t)) AS l FROM market JOIN w ON t >= b AND t < b + 21), k AS (SELECT wid, l / max(l) OVER (PARTITION BY wid ORDER BY t) - 1 AS dd FROM l) SELECT wid, round(min(dd), 6) + 0.0 AS drawdown FROM k GROUP BY wid""",
     "roll_gini": f"""WITH {_W}, {_WE(0.9)}, x AS (SELECT w.wid, v.asset_idx, (SELECT count(*) FROM we WHERE we.wid = w.wid AND we.src = v.asset_idx) AS x FROM w, (SELECT DISTINCT asset_idx FROM panel) v),
 k AS (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY x, asset_idx) AS i, count(*) OVER (PARTITION BY wid) AS n FROM x) SELECT wid, round(sum((2 * i - n - 1) * x) / nullif(max(n) * sum(x), 0), 6) + 0.0 AS gini FROM k GROUP BY wid""",
@@ -202,9 +218,12 @@ k AS (SELECT wid, avg(abs(c)) AS coupling, any_value(vol) AS vol FROM qc JOIN v
     "shock_spillover": f"""WITH {_SPLIT}, {graph("tl", "e", 0.9)}, sd AS (SELECT asset_idx, 2 * stddev_samp(r) AS cut FROM train GROUP BY 1),
 z AS (SELECT round(sign(signed) * p.r, 9) AS fore, round(q.r, 9) AS real, abs(p.r) > cut AS shock FROM e JOIN test p ON p.asset_idx = src JOIN test q ON q.asset_idx = dst AND q.t = p.t + e.lag JOIN sd ON sd.asset_idx = src),
 y AS (SELECT 'all' AS kind, fore, real FROM z UNION ALL SELECT 'shock', fore, real FROM z WHERE shock) {spear("y", "fore", "real", "kind")}""",
-    "centrality_ls": f"WITH {_W}, {_WE(0.9)}, {_NEXT}, scores AS (SELECT wid, asset_idx, nxt, (SELECT count(*) FROM we WHERE we.wid = nxt.wid AND we.src = nxt.asset_idx) AS score FROM nxt) {_LS}",
-    "link_momentum_ls": f"""WITH {_W}, {_WE(0.7)}, {_NEXT}, mv AS (SELECT wid, asset_idx, sum(r) AS move FROM panel JOIN w ON t >= b - 4 AND t < b GROUP BY ALL),
-sc AS (SELECT we.wid, we.dst AS asset_idx, round(avg(sign(signed) * move), 9) AS score FROM we JOIN mv ON mv.wid = we.wid AND mv.asset_idx = we.src GROUP BY ALL), scores AS (SELECT * FROM nxt JOIN sc USING (wid, asset_idx)) {_LS}""",
+    "centrality_ls": f"WITH {_CENTRAL} {long_short(1)}",
+    "link_momentum_ls": f"WITH {_MOMENTUM} {long_short(10)}",
+    "long_short_summary": f"""WITH k AS (SELECT 'centrality' AS study, spread FROM (WITH {_CENTRAL} {long_short(1)}) UNION ALL SELECT 'link momentum', spread FROM (WITH {_MOMENTUM} {long_short(10)}))
+SELECT study, count(*) AS n, {out("mean", "t", "sharpe", "wins", "low", "high")} FROM (SELECT study, spread, avg(spread) OVER w AS mean, avg(spread) OVER w / (stddev_pop(spread) OVER w / sqrt(count(spread) OVER w)) AS t, avg(spread) OVER w / stddev_pop(spread) OVER w * sqrt(12) AS sharpe,
+  avg(CAST(spread > 0 AS INT)) OVER w AS wins, avg(spread) OVER w - 1.96 * stddev_samp(spread) OVER w / sqrt(count(spread) OVER w) AS low, avg(spread) OVER w + 1.96 * stddev_samp(spread) OVER w / sqrt(count(spread) OVER w) AS high FROM k WINDOW w AS (PARTITION BY study))
+GROUP BY ALL""",
     "link_enrichment": f"""WITH {_E7}, ix AS (SELECT DISTINCT n_nationkey, asset_idx FROM nation JOIN panel ON n_name = asset),
 tr AS (SELECT least(x.asset_idx, y.asset_idx) AS a, greatest(x.asset_idx, y.asset_idx) AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN ix x ON x.n_nationkey = s_nationkey JOIN ix y ON y.n_nationkey = c_nationkey WHERE x.asset_idx <> y.asset_idx GROUP BY ALL),
 top AS (SELECT a, b FROM tr ORDER BY n DESC, a, b LIMIT 60), h AS (SELECT count(top.a) AS hits, count(*) AS drawn FROM edges LEFT JOIN top ON a = least(src, dst) AND b = greatest(src, dst)),

@@ -76,3 +76,18 @@ def normalized(name):
     """Upper case, punctuation as spaces, without the words that only say what kind of company it is."""
     bare = F.regexp_replace(F.upper(name), "[^A-Z0-9 ]", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(CL A|CORP|INC|CO|LTD|PLC|GROUP|HOLDINGS)\b", " "), " +", " "))
+
+
+def contained(names: DataFrame, others: DataFrame, name: str, other: str, order: str, least: int = 4) -> DataFrame:
+    """(name, other): for each name of at least ``least`` characters the first of the others, as long, that it holds or that holds it.
+
+    A text of four characters or more that stands in another has its first four there, so candidates come from an equi-join
+    on four neighbouring characters; containment is checked on those alone.
+    """
+    n = names.select(F.col(name).alias("n")).where(F.length("n") >= least).distinct()
+    o = others.select(F.col(other).alias("o"), F.col(order).alias("k")).where(F.length("o") >= least)
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 3), lambda i: F.substring(c, i, F.lit(4))))).alias("g")
+    holds = n.select("n", grams(F.col("n"))).join(o.select("o", "k", F.substring("o", 1, 4).alias("g")), "g").where(F.contains("n", "o"))
+    held = n.select("n", F.substring("n", 1, 4).alias("g")).join(o.select("o", "k", grams(F.col("o"))), "g").where(F.contains("o", "n"))
+    both = holds.select("n", "o", "k").union(held.select("n", "o", "k"))
+    return both.groupBy("n").agg(F.min_by("o", F.struct("k", "o")).alias("o")).toDF(name, other)
