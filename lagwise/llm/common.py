@@ -1,8 +1,9 @@
 """What the text operators share: scratch tables, Arrow columns, byte tables.
 
 Scratch tables cut lineage.  They go to the folder in ``spark.checkpoint.dir``,
-which driver and executors share; only where that is unset (tests, a laptop)
-is a temporary folder made and set.
+which driver and executors share; only where that is unset and driver and executors
+are one process (tests, a laptop) is a temporary folder made and set.  Operators drop
+the tables that nothing reads any more.
 """
 
 from __future__ import annotations
@@ -10,13 +11,16 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 _written: list[tuple[SparkSession, str]] = []
@@ -35,6 +39,8 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="lagwise-")
         spark.sparkContext.setCheckpointDir(_own_dir)
@@ -53,7 +59,25 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(*tables: DataFrame, sweep: bool = True) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more; a sweep lets Spark clear the shuffles that led to them."""
+    for table in tables:
+        folder = table.scratch.rpartition("/")[0]
+        _delete(table.sparkSession, folder)
+        _written[:] = [x for x in _written if x[1] != folder]
+    if sweep:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()  # shuffle files go when their plans are collected
 
 
 @atexit.register
@@ -62,13 +86,27 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit; its owner then clears the folder
             return
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``docs`` has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 _dropped: dict[str, Callable[[], None]] = {}
 _holder: list[str] = []
 
@@ -103,6 +141,17 @@ def blobs(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1000, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows, and so many bytes in a column but for the last row."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(total[at - 1]) if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(total, before + size, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def mix64(z: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, element by element."""
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
