@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, blobs, claim, materialize
+from .common import LOWER, SPACE, blobs, claim, fresh, materialize, mix64, named, slices
+from .words import Texts
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -44,39 +45,43 @@ MAX_SHARE = 0.02
 MIN_LEFT = 0.3
 _SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOL = bytes(c for c in range(256) if c not in _SYMBOLS)
-_CONTINUED = bytes(range(0x80, 0xC0))
+#: What doesn't begin a code point of a word.
+_NOT_CHARS = SPACE + bytes(range(0x80, 0xC0))
 _DIGITS = re.compile(rb"[0-9]+")
 FEATURES = "doc_id long, host string, rk long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, sketch long, lines array<long>, line_words array<int>"
 
 
-def repeat_words(words: list[bytes], n: int = 3) -> int:
-    """Words that stand in windows of ``n`` words found at least twice."""
-    if len(words) <= n:
+def repeat_words(words: np.ndarray, n: int = 3) -> int:
+    """Words, given by hashes, that stand in windows of ``n`` words found at least twice."""
+    m = len(words) - n + 1
+    if m < 2:
         return 0
-    windows = list(zip(*(words[i:] for i in range(n)), strict=False))
-    seen: set = set()
-    twice = {w for w in windows if w in seen or seen.add(w)} if len(set(windows)) < len(windows) else ()
-    if not twice:
+    windows = np.zeros(m, np.uint64)
+    for i in range(n):
+        windows = mix64(windows + words[i : i + m])
+    ordered = np.sort(windows)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
         return 0
-    total = end = 0
-    for i, w in enumerate(windows):
-        if w in twice:
-            total += i + n - max(i, end)
-            end = i + n
-    return total
-
-
-def features(text: bytes | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    text = text or b""
-    words = text.translate(SPACE_MAP).split(b" ")
-    words = [w for w in words if w]
-    chars = sum(map(len, words)) - len(text) + len(text.translate(None, _CONTINUED))
-    lines = [x for x in text.split(b"\n") if x.strip(SPACE)]
-    return len(words), chars, len(text.translate(None, _NOT_SYMBOL)), len(lines) - len(set(lines)), repeat_words(words)
-
-
-SPACE_MAP = bytes(0x20 if c in SPACE else c for c in range(256))
+    begins = np.zeros(m + n, np.int64)
+    found = np.flatnonzero(np.isin(windows, twice))
+    begins[found] += 1
+    begins[found + n] -= 1
+    return int(np.count_nonzero(np.cumsum(begins)))
+
+
+def features(texts: list[bytes | None]) -> np.ndarray:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; a row for each text."""
+    words = Texts(texts, fold=False)
+    out = np.zeros((len(texts), 5), np.int64)
+    out[:, 0] = words.counts
+    for k, text in enumerate(texts):
+        if not text:
+            continue
+        lines = [x for x in text.split(b"\n") if x and not x.isspace()]
+        out[k, 1:4] = len(text.translate(None, _NOT_CHARS)), len(text.translate(None, _NOT_SYMBOL)), len(lines) - len(set(lines))
+        out[k, 4] = repeat_words(words.hashes[words.begins[k] : words.begins[k + 1]])
+    return out
 
 
 def line_hashes(text: bytes | None) -> tuple[list[int], list[int]]:
@@ -97,18 +102,15 @@ def line_set(hashes: list[int]) -> int | None:
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim()
     for batch in batches:
-        got, hashes, counts = [], [], []
-        for text in blobs(batch.column(3)):
-            got.append(features(text))
-            h, n = line_hashes(text)
-            hashes.append(h)
-            counts.append(n)
-        table = np.array(got, np.int64).reshape(-1, 5)
-        sketch = [line_set(h) for h in hashes]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(5)), pa.array(sketch, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))],
-            [x.split()[0] for x in FEATURES.split(", ")],
-        )
+        for part in slices(batch, 3):
+            texts = blobs(part.column(3))
+            table = features(texts)
+            hashes, counts = zip(*map(line_hashes, texts), strict=True)
+            sketch = [line_set(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:3], *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(5)), pa.array(sketch, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))],
+                [x.split()[0] for x in FEATURES.split(", ")],
+            )
 
 
 def host_key(host_col: str) -> Column:
@@ -144,6 +146,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     Rows with the same id, host and text have the same verdict, so a row is told by (id, hash of host and text).
     """
     verdict = judge(docs, id_col, text_col, host_col)
-    bad = verdict.where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("rk").alias("__rk")).distinct()
-    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__rk": F.xxhash64(host_key(host_col), F.col(text_col).cast("string"))})
-    return rows.join(bad, ["__id", "__rk"], "left_anti").select(*docs.columns)
+    key, rk = fresh(docs, "key", "rk")
+    bad = verdict.where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(-1)).alias(key), F.col("rk").alias(rk)).distinct()
+    rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), rk: F.xxhash64(host_key(host_col), F.col(text_col).cast("string"))})
+    return rows.join(bad, [key, rk], "left_anti").select(*named(docs.columns))
