@@ -4,16 +4,19 @@ A line's key is the line without white space at its ends, A-Z in lower case; its
 hash is the MD5 of the key as two 64-bit words.  Pass one counts, for every
 distinct line hash, the documents that hold it (a document names each of its
 lines once, so a line that every document holds costs a count for each task).
-Counts under the limit can drop nothing, and the hashes that reach it are dealt
-to shards of bounded size.  Each shard is a minimal perfect hash (levels of bit
-arrays; a key stands where it was alone) that indexes an array of fingerprints,
-the other 64 bits of the hash, and an array of counts.  The shards are a written
-table in the shared folder.
-
-Pass two reads the documents again and probes: the line hashes of a batch are
-sorted by shard, and a worker holds a bounded number of shards.  No line is
-joined and no text is shuffled.  A line is dropped only if shard, slot and all 64
-bits of the fingerprint agree, so a false drop is a collision of MD5 in effect.
+All distinct hashes are dealt to shards of bounded size: first those that reach
+the limit, then the rest, which no document needs to probe to lose a line.  Each
+shard is a minimal perfect hash (levels of bit arrays; a key stands where it was
+alone) that indexes an array of fingerprints, the other 64 bits of the hash, and
+an array of counts.  The shards are a written table in the shared folder;
+``line_counts`` looks any line up in both kinds.
+
+Pass two reads the documents again and probes.  A task gathers documents until
+their lines are many for each shard, or a bound of bytes, and sorts the hashes by
+shard, so a shard is loaded once for many probes; a worker holds a bounded number
+of shards.  No line is joined and no text is shuffled.  A line is dropped only if
+shard, slot and all 64 bits of the fingerprint agree, so a false drop is a
+collision of MD5 in effect.
 
 Defined cases: a null or empty text is one empty line, and a null text stays null
 in ``drop_lines``; empty keys are never dropped; repeated rows are documents each;
@@ -25,21 +28,24 @@ from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACE, arrow_fs, blobs, claim, mix64, scratch_path
+from .common import LOWER, SPACE, arrow_fs, blobs, claim, drop, materialize, mix64, scratch_path, slices
 
 #: Keys of a shard, but for chance, and shards that a worker holds: some 3 MB each.
 SHARD_KEYS = 1 << 17
 HELD_SHARDS = 64
 LEVELS = 40
+#: Lines that a task gathers for each shard before it probes, and the bytes of text that it holds for that at most.
+PROBES = 4096
+HELD_BYTES = 64_000_000
 
 
 def keys_of(text: bytes | None) -> tuple[list[bytes], list[bytes]]:
@@ -118,10 +124,13 @@ class Shard:
 
 
 class Index:
-    """The shards of a folder; a worker loads what it probes and drops the least recently used."""
+    """The shards of a folder; a worker loads what it probes and drops the least recently used.
+
+    Of ``frequent + rare`` shards the first hold the hashes that reach the limit.
+    """
 
-    def __init__(self, folder: str, shards: int):
-        self.folder, self.shards = folder, shards
+    def __init__(self, folder: str, frequent: int, rare: int):
+        self.folder, self.frequent, self.rare = folder, frequent, rare
         self.held: OrderedDict[int, Shard | None] = OrderedDict()
 
     def shard(self, k: int) -> Shard | None:
@@ -140,27 +149,29 @@ class Index:
         self.held.move_to_end(k)
         return self.held[k]
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
+    def counts(self, h: np.ndarray, rare: bool = False) -> np.ndarray:
+        """The documents that hold each line; 0 for those under the limit unless ``rare``."""
         out = np.zeros(len(h), np.int64)
-        if not self.shards or not len(h):
-            return out
         lo, hi = h[:, 0], h[:, 1]
-        shard = (hi % np.uint64(self.shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        for part in np.split(order, cuts):
-            if found := self.shard(int(shard[part[0]])):
-                out[part] = found.probe(lo[part], hi[part])
+        for first, shards in ((0, self.frequent), (self.frequent, self.rare if rare else 0)):
+            if not shards or not len(h):
+                continue
+            shard = first + (hi % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.diff(shard[order])) + 1
+            for part in np.split(order, cuts):
+                if found := self.shard(int(shard[part[0]])):
+                    out[part] = np.maximum(out[part], found.probe(lo[part], hi[part]))
         return out
 
 
 _indexes: OrderedDict[str, Index] = OrderedDict()
 
 
-def _index(folder: str, shards: int) -> Index:
+def _index(folder: str, frequent: int, rare: int) -> Index:
     if folder not in _indexes:
         _indexes.clear()
-        _indexes[folder] = Index(folder, shards)
+        _indexes[folder] = Index(folder, frequent, rare)
     return _indexes[folder]
 
 
@@ -181,20 +192,19 @@ def _pairs(keys: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], ["lo", "hi"])
 
 
-def build_index(docs: DataFrame, min_docs: int, text_col: str = "text") -> tuple[str, int]:
-    """(folder of the shards, their number) for the lines found in at least ``min_docs`` documents."""
+def build_index(docs: DataFrame, min_docs: int, text_col: str = "text") -> tuple[str, int, int]:
+    """(folder of the shards, number of those for lines found in at least ``min_docs`` documents, number of the others)."""
     spark = docs.sparkSession
     lines = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_line_rows, "lo long, hi long")
-    counted = lines.groupBy("lo", "hi").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    table = scratch_path(spark, "lines")
-    counted.write.option("compression", "zstd").parquet(table)
-    found = spark.read.schema(counted.schema).parquet(table)
-    n = found.count()
-    shards = -(-n // SHARD_KEYS)
-    if not n:
-        return "", 0
+    found = materialize(lines.groupBy("lo", "hi").agg(F.count("*").alias("n")), "lines")
+    rare = F.col("n") < min_docs
+    n = {r.rare: r.n for r in found.groupBy(rare.alias("rare")).agg(F.count("*").alias("n")).collect()}  # two rows
+    frequent, others = (-(-n.get(k, 0) // SHARD_KEYS) for k in (False, True))
     folder = scratch_path(spark, "shards")
-    unsigned = (F.col("hi") % shards + F.lit(pow(2, 64, shards)) * (F.col("hi") < 0).cast("long") + shards) % shards
+
+    def dealt(shards: int) -> Column:  # the unsigned remainder
+        m = max(shards, 1)
+        return (F.col("hi") % m + F.lit(pow(2, 64, m)) * (F.col("hi") < 0).cast("long") + m) % m
 
     def pack(t: pa.Table) -> pa.Table:  # one shard, of bounded size
         lo, hi, c = (t.column(x).to_numpy() for x in ("lo", "hi", "n"))
@@ -202,45 +212,75 @@ def build_index(docs: DataFrame, min_docs: int, text_col: str = "text") -> tuple
         return pa.table({"shard": t.column("shard").slice(0, 1), "sizes": pa.array([sizes], pa.list_(pa.int64())), "bits": [bits], "fingerprints": [prints], "counts": [numbers]})
 
     schema = "shard long, sizes array<long>, bits binary, fingerprints binary, counts binary"
-    packed = found.withColumn("shard", unsigned.cast("long")).groupBy("shard").applyInArrow(pack, schema)
-    packed.write.partitionBy("shard").option("compression", "none").parquet(folder)
-    return folder, shards
+    shard = F.when(rare, frequent + dealt(others)).otherwise(dealt(frequent)).cast("long")
+    found.withColumn("shard", shard).groupBy("shard").applyInArrow(pack, schema).write.partitionBy("shard").option("compression", "none").parquet(folder)
+    drop(found)
+    return folder, frequent, others
+
+
+def line_counts(lines: DataFrame, index: tuple[str, int, int], line_col: str = "line") -> DataFrame:
+    """``lines`` with n_docs, in how many documents of the index each line is."""
+    schema = T.StructType([*lines.schema.fields, T.StructField("n_docs", T.LongType())])
+    place = lines.columns.index(line_col)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
+        for batch in batches:
+            keys = [(x or b"").translate(LOWER).strip(SPACE) for x in blobs(batch.column(place))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_index(*index).counts(hashes(keys), rare=True))], [f.name for f in schema])
+
+    return lines.mapInArrow(look, schema)
 
 
 ADDED = ("n_lines", "n_dropped", "kept_text")
 
 
-def drop_lines(docs: DataFrame, min_docs: int = 10, min_key: int = 1, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept_text: each text without the lines whose key at least ``min_docs`` documents hold."""
-    folder, shards = build_index(docs, min_docs, text_col)
-    docs = docs.drop(*ADDED)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_text", T.StringType())])
+def drop_lines(docs: DataFrame, min_docs: int = 10, min_key: int = 1, text_col: str = "text", added: Sequence[str] = ADDED) -> DataFrame:
+    """``docs`` with n_lines, n_dropped and kept_text, or what ``added`` names them: each text without the lines whose key at least ``min_docs`` documents hold."""
+    built = build_index(docs, min_docs, text_col)
+    docs = docs.drop(*added)
+    names = [*docs.columns, *added]
     place = docs.columns.index(text_col)
-
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim()
-        index = _index(folder, shards)
-        for batch in batches:
-            texts = blobs(batch.column(place))
-            split = [keys_of(t) for t in texts]
-            flat = [k for _, keys in split for k in keys]
-            gone = index.counts(hashes(flat)) >= min_docs
-            at, lines_n, dropped, kept = 0, [], [], []
-            for text, (lines, keys) in zip(texts, split, strict=True):
-                out = gone[at : at + len(keys)]
-                at += len(keys)
-                n = 0
+    docs = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names may hold what Arrow functions can't resolve
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"a{name}", kind) for name, kind in zip(added, (T.LongType(), T.LongType(), T.StringType()), strict=True))])
+
+    def judged(held: list[tuple[pa.RecordBatch, list[int], np.ndarray]], index: Index) -> Iterator[pa.RecordBatch]:
+        gone = index.counts(np.concatenate([h for _, _, h in held])) >= min_docs
+        at = 0
+        for batch, sizes, _ in held:
+            dropped, kept = [], []
+            for text, n in zip(blobs(batch.column(place)), sizes, strict=True):
+                out = gone[at : at + n]
+                at += n
+                less = 0
                 if out.any():
-                    stay = [x for x, k, g in zip(lines, keys, out.tolist(), strict=True) if not (g and len(k) >= min_key and (min_key <= 1 or len(k.decode()) >= min_key) and k)]
-                    n = len(lines) - len(stay)
+                    lines, keys = keys_of(text)
+                    stay = [x for x, k, g in zip(lines, keys, out.tolist(), strict=True) if not (g and k and (min_key <= 1 or len(k.decode()) >= min_key))]
+                    less = n - len(stay)
                     text = b"\n".join(stay)
-                lines_n.append(len(lines))
-                dropped.append(n)
+                dropped.append(less)
                 kept.append(text)
             kept_col = pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines_n, pa.int64()), pa.array(dropped, pa.int64()), kept_col], [f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(dropped, pa.int64()), kept_col], [f.name for f in schema])
 
-    return docs.mapInArrow(drop, schema)
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
+        index = _index(*built)
+        held: list = []
+        lines = size = 0
+        for batch in batches:
+            for part in slices(batch, place, rows=2000):
+                keys = [keys_of(t)[1] for t in blobs(part.column(place))]
+                held.append((part, [len(k) for k in keys], hashes([k for x in keys for k in x])))
+                lines += len(held[-1][2])
+                size += part.nbytes
+                if lines >= PROBES * index.frequent or size >= HELD_BYTES:
+                    yield from judged(held, index)
+                    held, lines, size = [], 0, 0
+        if held:
+            yield from judged(held, index)
+
+    return docs.mapInArrow(probe, schema).toDF(*names)
 
 
 def line_digests(docs: DataFrame, min_docs: int = 10) -> DataFrame:
