@@ -8,6 +8,10 @@ frames, a descriptor and the magic number.  Any zstandard reader can decompress
 a file as a whole; ``Reader`` fetches the tail and then only the frames that
 hold the documents asked for.
 
+Documents are dealt by ranges of ids to as many tasks as the input's size asks for, and a
+task begins a new file whenever one has FILE_BYTES of ids, so files, their index and what a
+writer holds are bounded whatever the input.
+
 Defined cases: a null text is the empty text, one end id; ids ascend, null first,
 equal ids by their text; an empty table writes no file and reads as no rows; a
 document larger than a frame has a frame of its own; other columns are ignored.
@@ -33,6 +37,9 @@ from .packing import token_rows
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES = 1 << 18
+#: Bytes of ids in a file, but for its last document, and bytes of input for a task.
+FILE_BYTES = 1 << 27
+TASK_BYTES = 1 << 28
 ENTRY = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("offset", "<u4"), ("tokens", "<u8")])
 
 
@@ -122,39 +129,54 @@ class Reader:
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write one file for each range of ids; the manifest has a row for each file that a task committed.
+    """Write files of ascending ids; the manifest has a row for each file that a task committed.
 
     The manifest is a written table: a file that a lost or repeated task left is in no row of it.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-files")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // TASK_BYTES))
+    file_bytes = FILE_BYTES
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = arrow_fs(folder)
-        part = TaskContext.get().partitionId()
+        part, number = TaskContext.get().partitionId(), 0
         writer = sink = name = None
         docs_n = tokens = 0
+
+        def row() -> pa.RecordBatch:
+            writer.close()
+            sink.close()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([docs_n], pa.int64()), pa.array([tokens], pa.int64())],
+                ["part", "number", "file", "docs", "tokens"],
+            )
+
         for keys, ids, dtype in token_rows(batches, path, end_id):
-            if writer is None:
-                fs.create_dir(root, recursive=True)
-                name = f"{part:06d}-{uuid.uuid4().hex}.tok.zst"
-                sink = fs.open_output_stream(f"{root}/{name}", compression=None)
-                writer = Writer(sink, dtype.itemsize)
             for key, x in zip(keys, ids, strict=True):
+                if writer is None:
+                    fs.create_dir(root, recursive=True)
+                    name = f"{part:06d}-{number:06d}-{uuid.uuid4().hex}.tok.zst"
+                    sink = fs.open_output_stream(f"{root}/{name}", compression=None)
+                    writer = Writer(sink, dtype.itemsize)
                 writer.add(key, x)
                 tokens += len(x) // dtype.itemsize
-            docs_n += len(keys)
+                docs_n += 1
+                if tokens * dtype.itemsize >= file_bytes:
+                    yield row()
+                    writer, number, docs_n, tokens = None, number + 1, 0, 0
         if writer is not None:
-            writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([docs_n], pa.int64()), pa.array([tokens], pa.int64())], ["part", "file", "docs", "tokens"]
-            )
+            yield row()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = ordered.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return materialize(ordered.mapInArrow(write, "part int, file string, docs long, tokens long"), "manifest")
+    return materialize(ordered.mapInArrow(write, "part int, number int, file string, docs long, tokens long"), "manifest")
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """The size of the input as the optimiser knows it; 0 where it doesn't."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def read_token_files(manifest: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
@@ -162,7 +184,7 @@ def read_token_files(manifest: DataFrame, doc_ids: list[int] | None = None) -> D
 
     With ``doc_ids``, only the frames that hold these are decompressed.
     """
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     files = manifest.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
