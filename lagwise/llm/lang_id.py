@@ -7,11 +7,13 @@ bound is the documented parameter.  Trigrams are counted on executors and hashed
 ``BUCKETS``, so the table that goes to all tasks has ``BUCKETS`` floats a language.
 
 Prediction: a document is a mixture of languages, its words the draws.  Expectation
-maximisation over the words' likelihoods gives the proportions; nested sets (the
-most probable language, the two most probable, ...) are compared by likelihood less
-a penalty for each further language, and the best set stays.  The language with the
-largest share is the prediction, its share the score.  Each text is read whole, by a
-slice of words at a time, and nothing is shuffled.
+maximisation over the words' likelihoods gives the proportions.  Sets of languages are
+compared by likelihood less a penalty for each further language: from all languages the
+one with the smallest share goes, again and again, and the best set on the way stays.  No
+set can have a larger likelihood than that of all languages, so sizes whose penalty
+alone puts them below the best so far are passed over.  The language with the largest
+share is the prediction, its share the score.  Each text is read whole, ``CHUNK`` characters
+at a time, its words held once each, and nothing is shuffled.
 
 Defined cases: null text or text without a letter is ``und`` with score 0, as is all
 text where nothing was learnt; rows with a null id count as crc32('') and belong to
@@ -29,14 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix64
+
 SAMPLE_ROWS = 3000
 BUCKETS = 1 << 15
 SMOOTH = 0.5
-MAX_SET = 5
 PENALTY = 3.0
 EM_ROUNDS = 12
+#: Characters of a text that are taken apart together.
+CHUNK = 1 << 20
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
+_SPACE = re.compile(r"\s")
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -49,20 +55,33 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64), begins
 
 
-def em(like: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float]:
-    """Proportions and log-likelihood of a mixture of the rows of ``like``, the log-likelihoods by component and draw."""
+def chunks(text: str) -> Iterator[str]:
+    """A text in parts cut at white space; a longer run without any is cut as it stands."""
+    at = 0
+    while at < len(text):
+        to = at + CHUNK
+        if to < len(text):
+            space = _SPACE.search(text, to, to + CHUNK)
+            to = space.start() if space else to + CHUNK
+        yield text[at:to]
+        at = to
+
+
+def em(like: np.ndarray, weight: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float]:
+    """Proportions and log-likelihood of a mixture of the rows of ``like``, the log-likelihoods by component and kind of draw; kinds are drawn ``weight`` times."""
     top = like.max(axis=0)
     p = np.exp(like - top)
     share = np.full(len(like), 1 / len(like))
     if len(like) > 1:
+        part = weight / weight.sum()
         for _ in range(rounds):
             joint = share[:, None] * p
-            new = (joint / joint.sum(axis=0)).mean(axis=1)
+            new = joint @ (part / joint.sum(axis=0))
             done = np.abs(new - share).max() < 1e-4
             share = new
             if done:
                 break
-    return share, float((np.log(share @ p) + top).sum())
+    return share, float((np.log(share @ p) + top) @ weight)
 
 
 class Model:
@@ -72,34 +91,61 @@ class Model:
             smooth = counts + SMOOTH
             self.logs = np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
+    def likelihoods(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods of the text's distinct words by language and word, and how often each word stands."""
+        keys, like, counts = np.zeros(0, np.uint64), np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int64)
+        for part in chunks(text):
+            codes, begins = grams(part)
+            if not len(begins):
+                continue
+            words = np.add.reduceat(mix64(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(len(codes)) - np.repeat(begins, np.diff(np.append(begins, len(codes))))).astype(np.uint64)), begins)
+            k, at, n = np.unique(words, return_index=True, return_counts=True)
+            ends = np.append(begins[1:], len(codes))[at]
+            sizes = ends - begins[at]
+            starts = np.cumsum(sizes) - sizes
+            where = np.repeat(begins[at] - starts, sizes) + np.arange(int(sizes.sum()))
+            found = np.add.reduceat(self.logs[codes[where]], starts, axis=0)
+            if not len(keys):
+                keys, like, counts = k, found, n
+                continue
+            keys, first, of = np.unique(np.concatenate([keys, k]), return_index=True, return_inverse=True)
+            like, counts = np.concatenate([like, found])[first], np.bincount(of, np.concatenate([counts, n])).astype(np.int64)
+        return like.T.astype(np.float64), counts
+
     def mixture(self, text: str | None) -> list[tuple[str, float]]:
         """The selected languages with their shares, the largest first."""
         if not self.langs or not text or not _LETTER.search(text):
             return []
-        codes, begins = grams(text)
-        if len(codes) == 0:
+        like, weight = self.likelihoods(text)
+        if not len(weight):
             return []
-        like = np.add.reduceat(self.logs[codes], begins, axis=0).astype(np.float64).T
-        if len(self.langs) == 1:
-            return [(self.langs[0], 1.0)]
-        share, _ = em(like)
-        order = np.lexsort((np.arange(len(share)), -share))
-        single = order[np.argmax(like[order].sum(axis=1))]
-        best, chosen, out = float(like[single].sum()), [int(single)], np.array([1.0])
-        for k in range(2, min(MAX_SET, len(order)) + 1):
-            if share[order[k - 1]] < 0.01:
-                break
-            part, value = em(like[order[:k]])
-            value -= PENALTY * (k - 1) * np.log(like.shape[1] + 1)
-            if value > best:
-                best, chosen, out = value, order[:k].tolist(), part
-        return sorted(((self.langs[i], float(min(1.0, s))) for i, s in zip(chosen, out, strict=True)), key=lambda x: (-x[1], x[0]))
+        chosen, share = select(like, weight.astype(np.float64))
+        return sorted(((self.langs[i], float(min(1.0, s))) for i, s in zip(chosen, share, strict=True)), key=lambda x: (-x[1], x[0]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = self.mixture(text)
         return found[0] if found else ("und", 0.0)
 
 
+def select(like: np.ndarray, weight: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The components of the best penalised set, and their shares."""
+    alone = like @ weight
+    single = int(np.argmax(alone))
+    best, chosen, out = float(alone[single]), [single], np.array([1.0])
+    penalty = PENALTY * np.log(weight.sum() + 1)
+    left = np.arange(len(like))
+    most = None
+    while len(left) > 1:
+        if most is not None and most - penalty <= best:
+            break  # no set of two or more can be better
+        share, value = em(like[left], weight)
+        most = value if most is None else most
+        if value - penalty * (len(left) - 1) > best:
+            best, chosen, out = value - penalty * (len(left) - 1), left.tolist(), share
+        left = np.delete(left, np.argmin(share))
+    return chosen, out
+
+
 def held_out(id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
