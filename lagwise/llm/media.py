@@ -2,8 +2,8 @@
 
 ``encode`` stores bytes as 8-bit grey frames of 8 x 8 samples in a movie of one
 track; ``probe`` walks the nested boxes of any such container, decodes the
-sample tables and gives codec, duration and the byte ranges of the keyframes
-without touching a payload; ``payload`` reads the stored samples back by those
+sample tables, those of movie fragments too, and gives codec, duration and the byte
+ranges of the keyframes without touching a payload; ``payload`` reads the stored samples back by those
 tables.  ``media_columns`` applies all three to a text column in one pass over
 the rows: no shuffle, memory of one Arrow batch.
 
@@ -31,7 +31,7 @@ FRAMES_PER_CHUNK = 256
 KEY_INTERVAL = 16
 TIMESCALE = 25
 #: Boxes that hold boxes, from ISO/IEC 14496-12; meta has four bytes of version and flags first.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex"}
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -124,8 +124,25 @@ class Track:
     per_chunk: tuple[tuple[int, int, int], ...] = ()
     sync: tuple[int, ...] | None = None
     times: list[tuple[int, int]] = field(default_factory=list)
+    track_id: int = 0
+    #: Runs of samples of movie fragments: first offset, sizes, which are keyframes, duration of all.
+    runs: list[tuple[int, tuple[int, ...], tuple[bool, ...], int]] = field(default_factory=list)
 
     def samples(self) -> Iterator[tuple[int, int]]:
+        yield from self._table_samples()
+        for at, sizes, _, _ in self.runs:
+            for n in sizes:
+                yield at, n
+                at += n
+
+    def count(self) -> int:
+        return self.sizes[1] + sum(len(sizes) for _, sizes, _, _ in self.runs)
+
+    def length(self) -> int:
+        """Units of the time scale: the header's, or what samples last where it has none because fragments follow."""
+        return self.duration or sum(n * d for n, d in self.times) + sum(d for _, _, _, d in self.runs)
+
+    def _table_samples(self) -> Iterator[tuple[int, int]]:
         fixed, count, each = self.sizes
         k = run = 0
         for c, at in enumerate(self.chunks, 1):
@@ -148,14 +165,13 @@ class Track:
             m = min(self.per_chunk[run][1] if self.per_chunk else 0, count - k)
             out.append((at, fixed * m if fixed else sum(each[k : k + m])))
             k += m
-        return out
+        return out + [(at, sum(sizes)) for at, sizes, _, _ in self.runs]
 
     def keyframes(self) -> list[tuple[int, int]]:
         """Every sample is a keyframe where the table of sync samples is absent."""
-        if self.sync is None:
-            return list(self.samples())
-        wanted = set(self.sync)
-        return [r for k, r in enumerate(self.samples(), 1) if k in wanted]
+        wanted = None if self.sync is None else set(self.sync)
+        flags = [wanted is None or k in wanted for k in range(1, self.sizes[1] + 1)] + [f for _, _, keys, _ in self.runs for f in keys]
+        return [r for r, f in zip(self.samples(), flags, strict=False) if f]
 
 
 def _table(data: bytes, at: int, end: int, form: str) -> tuple[int, ...]:
@@ -165,21 +181,103 @@ def _table(data: bytes, at: int, end: int, form: str) -> tuple[int, ...]:
     return struct.unpack_from(">" + form * n if len(form) > 1 else f">{n}{form}", data, at + 8)
 
 
+def _compact_sizes(data: bytes, at: int, end: int) -> tuple[int, int, tuple[int, ...]]:
+    """The sizes of stz2: 4, 8 or 16 bits each."""
+    bits, (count,) = data[at + 7], struct.unpack_from(">I", data, at + 8)
+    if bits not in (4, 8, 16) or at + 12 + (count * bits + 7) // 8 > end:
+        raise ValueError("a table of compact sizes is wrong")
+    if bits == 4:
+        each = tuple(x for b in data[at + 12 : at + 12 + (count + 1) // 2] for x in (b >> 4, b & 15))[:count]
+    else:
+        each = struct.unpack_from(f">{count}{'B' if bits == 8 else 'H'}", data, at + 12)
+    return 0, count, each
+
+
+#: Flag of a sample that is no keyframe, and the optional fields of tfhd and of a sample of trun by their flags (ISO/IEC 14496-12).
+NOT_SYNC = 0x10000
+TFHD = ((0x1, "base", "Q"), (0x2, "description", "I"), (0x8, "duration", "I"), (0x10, "size", "I"), (0x20, "flags", "I"))
+TRUN = ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "composition"))
+
+
+def _fields(data: bytes, at: int, end: int, flags: int, known) -> dict[str, int]:
+    out = {}
+    for flag, name, form in known:
+        if flags & flag:
+            if at + struct.calcsize(form) > end:
+                raise ValueError("a fragment's header is longer than its box")
+            (out[name],) = struct.unpack_from(">" + form, data, at)
+            at += struct.calcsize(form)
+    return out
+
+
+def _fragment(data: bytes, moof: int, at: int, end: int, tracks: dict[int, Track], defaults: dict[int, dict[str, int]], follows: int) -> int:
+    """Adds the runs of one traf to its track; the end of its data, where the next one's begins unless it says otherwise."""
+    track = own = None
+    place = follows
+    for kind, start, stop in boxes(data, at, end):
+        if kind not in (b"tfhd", b"trun"):
+            continue
+        flags = struct.unpack_from(">I", data, start)[0] & 0xFFFFFF
+        if kind == b"tfhd":
+            (number,) = struct.unpack_from(">I", data, start + 4)
+            if number not in tracks:
+                raise ValueError(f"a fragment of track {number}, which the movie doesn't have")
+            track = tracks[number]
+            given = _fields(data, start + 8, stop, flags, TFHD)
+            own = defaults.get(number, {}) | given
+            base = given.get("base", moof if flags & 0x20000 else follows)
+            place = base
+            continue
+        if track is None:
+            raise ValueError("a run of samples before its header")
+        (count,) = struct.unpack_from(">I", data, start + 4)
+        head = _fields(data, start + 8, stop, flags, ((0x1, "offset", "i"), (0x4, "first", "I")))
+        if "offset" in head:
+            place = base + head["offset"]
+        names = [n for f, n in TRUN if flags & f]
+        first = start + 8 + 4 * len(head)
+        if first + 4 * len(names) * count > stop:
+            raise ValueError("a run of samples is longer than its box")
+        table = struct.unpack_from(f">{len(names) * count}I", data, first)
+        column = {n: table[i :: len(names)] for i, n in enumerate(names)}
+        sizes = column.get("size", (own.get("size", 0),) * count)
+        marks = list(column.get("flags", (own.get("flags", 0),) * count))
+        if "first" in head and marks:
+            marks[0] = head["first"]
+        lasts = sum(column.get("duration", (own.get("duration", 0),) * count))
+        track.runs.append((place, tuple(sizes), tuple(not m & NOT_SYNC for m in marks), lasts))
+        place += sum(sizes)
+    return place
+
+
 def probe(data: bytes) -> list[Track]:
     """The tracks of a container."""
     tracks: list[Track] = []
+    defaults: dict[int, dict[str, int]] = {}
 
     def walk(start: int, end: int) -> None:
         for kind, at, stop in boxes(data, start, end):
             if kind == b"trak":
                 tracks.append(Track())
+            if kind == b"moof":
+                follows = at - (16 if struct.unpack_from(">I", data, at - 16)[0] == 1 and data[at - 12 : at - 8] == b"moof" else 8)
+                begin = follows
+                for inner, a, z in boxes(data, at, stop):
+                    if inner == b"traf":
+                        follows = _fragment(data, begin, a, z, {t.track_id: t for t in tracks}, defaults, follows)
+                continue
             if kind in CONTAINERS:
                 walk(at, stop)
                 continue
+            if kind == b"trex":
+                number, _, duration, size, flags = struct.unpack_from(">IIIII", data, at + 4)
+                defaults[number] = {"duration": duration, "size": size, "flags": flags}
             if not tracks:
                 continue
             t = tracks[-1]
-            if kind == b"mdhd":
+            if kind == b"tkhd":
+                (t.track_id,) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+            elif kind == b"mdhd":
                 t.timescale, t.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
             elif kind == b"hdlr" and not t.handler:
                 t.handler = data[at + 8 : at + 12].decode("latin-1")
@@ -196,6 +294,8 @@ def probe(data: bytes) -> list[Track]:
             elif kind == b"stsz":
                 fixed, count = struct.unpack_from(">II", data, at + 4)
                 t.sizes = (fixed, count, () if fixed else _table(data, at + 4, stop, "I"))
+            elif kind == b"stz2":
+                t.sizes = _compact_sizes(data, at, stop)
             elif kind == b"stco":
                 t.chunks = _table(data, at, stop, "I")
             elif kind == b"co64":
@@ -212,7 +312,7 @@ def payload(data: bytes, track: Track) -> bytes:
 
 def feature(track: Track) -> str:
     keys = track.keyframes()
-    return f"codec={track.codec.strip()};seconds={track.duration}/{track.timescale};samples={track.sizes[1]};keyframes={len(keys)};ranges=" + ",".join(
+    return f"codec={track.codec.strip()};seconds={track.length()}/{track.timescale};samples={track.count()};keyframes={len(keys)};ranges=" + ",".join(
         f"{a}+{n}" for a, n in keys
     )
 
