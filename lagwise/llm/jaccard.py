@@ -8,14 +8,20 @@
    of either in any fixed order.  The order has frequent shingles last (their number
    is bounded by FREQUENT), then goes by hash.  Classes with a prefix shingle in
    common, and of sizes that t allows, form a tile.
-3. Links by leaders.  In each tile and band of sizes every class is held against one
-   of them, the smallest and then another: a pair a row, not a pair a pair.  Bit counts of hashed bitmaps bound
-   the overlap from above; the pairs left are verified on the sorted arrays.  Their
-   components are joined.
-4. What is left.  Tiles whose classes are in one component need no more.  The others
-   are cut to cells of bounded size (blocks against blocks), and within a cell only
-   pairs of different components that pass size and bitmap bound go on to the exact
-   intersection.  No pair is given up, no group is collected whole.
+   Tiles of the same classes are one tile, told by count, extremes and two sums of
+   hashes of their classes: texts that share a passage share tens of shingles.
+3. Links by leaders.  In each tile and band of sizes every class is held against the
+   smallest of them: a pair a row, not a pair a pair.  Bit counts of hashed bitmaps
+   bound the overlap from above; the pairs left are verified on the sorted arrays.
+   Their components are joined, and tiles in one component need no more.
+4. What is left is cut to cells of bounded size (blocks against blocks; of a large tile
+   the largest component isn't held against itself).  Within a cell pairs of different
+   components that pass size and bitmap bound are candidates.  A first round names the
+   rows that have any, and of the candidates the most promising that join a task's
+   components, a forest.  Once these are verified, a second round holds the rows named
+   against each other by wider bitmaps, and all candidates that are still of different
+   components go on to the exact intersection.  No pair is given up, no group is
+   collected whole.
 5. Components by alternating neighbourhood minima, in written tables.
 
 The pair test is exact on the arrays: 100 * intersection >= 80 * union, with sizes
@@ -30,7 +36,8 @@ null ids alone has a null name; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,52 +45,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, blobs, cached, claim, materialize, mix64
+from .common import blobs, claim, drop, fresh, materialize, mix64, named, slices
+from .words import N, Texts
 
-N = 5
 #: Shingles that may count as frequent: their table goes to all tasks, 8 bytes each.
 FREQUENT = 1 << 19
 LOCAL = 2
-#: Texts whose arrays are held before they are handed on.
-SLICE = 1000
-#: Rounds of leaders before the tiles that are still mixed are compared class by class.
-LEADER_ROUNDS = 2
+#: Parts that a frequent shingle's rows are dealt to.
+SALTS = 63
 #: Classes in a block of a cell.
 BLOCK = 2048
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-MAX_WORDS = 150_000
 
 
-class _Words(dict):
-    """Hashes of words; a worker keeps a bounded number."""
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the five-word shingles of a text; of the whole sequence if it is shorter."""
+    return sets_of([text])[0]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MAX_WORDS:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
 
+def sets_of(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The shingles of each text."""
+    found = Texts(texts)
+    flat = found.shingles()
+    out = []
+    for k, (b, e) in enumerate(zip(found.begins[:-1].tolist(), found.begins[1:].tolist(), strict=True)):
+        if e - b >= N:
+            out.append(distinct(np.sort(flat[b : e - N + 1])))
+        else:
+            out.append(np.array([found.short(k)] if e > b else [], np.uint64))
+    return out
 
-_words = _Words()
-cached("words", _words.clear)
 
-
-def shingles(text: bytes | None, n: int = N) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-word shingles of a text; of the whole sequence if it is shorter."""
-    words = (text or b"").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    m = _MULTIPLIERS if n == N else mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
-    k = min(n, len(words))
-    out = np.full(len(words) - k + 1, np.uint64(k), np.uint64)
-    for i in range(k):
-        out += h[i : len(words) - k + 1 + i] * m[i]
-    return np.unique(mix64(out))
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys, each once."""
+    if len(keys) < 2 or (other := keys[1:] != keys[:-1]).all():
+        return keys
+    return keys[np.concatenate([[True], other])]
 
 
 def pack48(hashes: np.ndarray) -> bytes:
-    return (hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The upper 48 bits of sorted hashes, each once."""
+    return distinct(hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def unpack48(raw: bytes) -> np.ndarray:
@@ -92,13 +93,14 @@ def unpack48(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def bitmap_words(n: int) -> int:
-    """64-bit words of a set's bitmap, a power of two: 1024 bits, and one to two an element for sets of more than 1024."""
-    return min(1024, 1 << max(4, (max(n, 1) - 1).bit_length() - 6))
+def bitmap_words(n: int, wide: bool = False) -> int:
+    """64-bit words of a set's bitmap, a power of two: 1024 bits at least; one to two bits an element up to 64 Kbit, or 8 to 16 up to 128 Kbit."""
+    bits = (max(n, 1) - 1).bit_length()
+    return min(2048, 1 << max(4, bits - 3)) if wide else min(1024, 1 << max(4, bits - 6))
 
 
-def bitmap(keys: np.ndarray) -> bytes:
-    bits = bitmap_words(len(keys)) * 64
+def bitmap(keys: np.ndarray, wide: bool = False) -> bytes:
+    bits = bitmap_words(len(keys), wide) * 64
     out = np.zeros(bits, bool)
     out[((keys >> np.uint64(6)) % np.uint64(bits)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -122,7 +124,7 @@ def overlap_bound(x: np.ndarray, y: np.ndarray, a, b):
     return (a + b - np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)) // 2
 
 
-SETS = "doc_id long, rk long, n int, cls long, arr binary, bits binary, hot array<long>, hot_n array<int>"
+SETS = "doc_id long, rk long, n int, cls long, arr binary, hot array<long>, hot_n array<int>"
 
 
 def _often(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,33 +139,31 @@ def _often(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim("words")
+    claim()
     for batch in batches:
         seen: set = set()
         kept: list[np.ndarray] = []  # of the batch, for the frequent ones among them
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
-            sizes, classes, arrays, maps = [], [], [], []
-            for text in blobs(part.column(2)):
-                s = shingles(text)
+        done = 0
+        for part in slices(batch, 2):
+            done += part.num_rows
+            sizes, classes, arrays = [], [], []
+            for s in sets_of(blobs(part.column(2))):
                 c = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
                 first = c is not None and c not in seen
                 seen.add(c)
                 sizes.append(len(s))
                 classes.append(c)
-                raw = pack48(s) if first else None
-                arrays.append(raw)
-                maps.append(bitmap(unpack48(raw)) if first else None)
+                arrays.append(pack48(s) if first else None)
                 if first:
                     kept.append(s >> np.uint64(16))
             hot: list = [None] * len(sizes)
             hot_n: list = [None] * len(sizes)
-            if at + SLICE >= batch.num_rows and kept:
+            if done == batch.num_rows and kept:
                 keys, counts = _often(kept)
                 hot[0], hot_n[0] = keys.astype(np.int64), counts.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(arrays, pa.binary()), pa.array(maps, pa.binary()),
+                    part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(arrays, pa.binary()),
                     pa.array(hot, pa.list_(pa.int64())), pa.array(hot_n, pa.list_(pa.int32())),
                 ],
                 [x.split()[0] for x in SETS.split(", ")],
@@ -171,34 +171,30 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entry_rows(frequent, percent: int):
-    """Prefix shingles of the classes: token, n, cls."""
+    """Prefix shingles of the classes: token, salt (0, or by class where the shingle is frequent), n, cls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
         hot = frequent.value
         for batch in batches:
-            tokens, ns, cs = [], [], []
-            size = 0
-            for n, c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                keys = unpack48(raw)
-                p = n - -(-percent * n // 100) + 1
+            for part in slices(batch, 2):
+                n, cls, raw = part.column(0).to_numpy().astype(np.int64), part.column(1).to_numpy(), part.column(2).to_pylist()
+                held = np.array([len(x) // 6 for x in raw], np.int64)
+                keys, of = unpack48(b"".join(raw)), np.repeat(np.arange(len(raw)), held)
+                late = np.zeros(len(keys), bool)
                 if len(hot):
-                    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-                    late = hot[at] == keys
-                    if late.any():
-                        keys = np.concatenate([keys[~late], keys[late]])
-                tokens.append(keys[:p])
-                ns.append(np.full(p, n, np.int32))
-                cs.append(np.full(p, c, np.int64))
-                size += p
-                if size > 500_000:
-                    yield _table(tokens, ns, cs)
-                    tokens, ns, cs, size = [], [], [], 0
-            if tokens:
-                yield _table(tokens, ns, cs)
-
-    def _table(tokens, ns, cs):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(cs))], ["token", "n", "cls"])
+                    late = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+                # ranks within a class: by hash, frequent shingles after the others
+                begin = (np.cumsum(held) - held)[of]
+                before = np.cumsum(late) - late  # frequent ones before, over all
+                lates = before - before[begin]
+                rare = held - np.bincount(of[late], minlength=len(held))
+                rank = np.where(late, rare[of] + lates, np.arange(len(keys)) - begin - lates)
+                some = np.flatnonzero(rank < (n - -(-percent * n // 100) + 1)[of])
+                of = of[some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[some].view(np.int64)), pa.array(np.where(late[some], 1 + cls[of] % SALTS, 0).astype(np.int8)), pa.array(n[of].astype(np.int32)), pa.array(cls[of])], ["token", "salt", "n", "cls"]
+                )
 
     return run
 
@@ -230,7 +226,8 @@ def _exact_rows(percent: int):
             an, bn, x, y = (batch.column(i).to_pylist() for i in (1, 3, 4, 5))
             keep = []
             for k in range(len(an)):
-                common = len(np.intersect1d(unpack48(x[k]), unpack48(y[k]), assume_unique=True))
+                both = np.sort(np.concatenate([unpack48(x[k]), unpack48(y[k])]))
+                common = np.count_nonzero(both[1:] == both[:-1])
                 keep.append(bool(100 * common >= percent * (an[k] + bn[k] - common)))
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
@@ -248,11 +245,11 @@ class ClassFilter:
         return (self.shared.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
-def class_filter(ids: DataFrame) -> ClassFilter:
-    """A filter for the column ``cls``; the bits number sixteen a class, up to 16 MB in all."""
+def class_filter(ids: DataFrame, each: int = 16) -> ClassFilter:
+    """A filter for the column ``cls``; the bits number ``each`` a class, up to 16 MB in all."""
     ids = ids.distinct()
     n = ids.count()
-    bits = min(1 << 27, max(1 << 12, 1 << (16 * max(n, 1)).bit_length()))
+    bits = min(1 << 27, max(1 << 12, 1 << (each * max(n, 1)).bit_length()))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,24 +264,35 @@ def class_filter(ids: DataFrame) -> ClassFilter:
     return ClassFilter(ids.sparkSession.sparkContext.broadcast(table), bits)
 
 
-def _needed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The arrays of the classes of ``pairs``, and of a few more."""
-    wanted = class_filter(pairs.select(F.col("a").alias("cls")).distinct().union(pairs.select(F.col("b").alias("cls")).distinct()))
+def _bitmap_rows(wide: bool) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(unpack48(x), wide) for x in batch.column(1).to_pylist()], pa.binary())], ["cls", "bits"])
+
+
+def _maps(classes: DataFrame, held: DataFrame, wide: bool) -> DataFrame:
+    return materialize(_needed(classes.select("cls"), held, _bitmap_rows(wide), "cls long, bits binary"), "bitmaps")
+
+
+def _needed(classes: DataFrame, sets: DataFrame, shape: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda batch: batch, schema: str = "cls long, arr binary") -> DataFrame:
+    """The arrays of these classes (cls), and of a few more, or what ``shape`` makes of them."""
+    wanted = class_filter(classes)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(wanted.value(batch.column(0).to_numpy())))
+            yield shape(batch.filter(pa.array(wanted.value(batch.column(0).to_numpy()))))
 
-    return sets.where(F.col("arr").isNotNull()).select("cls", "arr").mapInArrow(keep, "cls long, arr binary").dropDuplicates(["cls"])
+    return sets.where(F.col("arr").isNotNull()).select("cls", "arr").mapInArrow(keep, schema).dropDuplicates(["cls"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs that link, as a written table (a, b)."""
     pairs = materialize(pairs, f"{name}-candidates")
-    arrays = _needed(pairs, sets)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    arrays = _needed(ends, sets)  # dealt by class once, for both joins
     both = pairs.join(arrays.select(F.col("cls").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("cls").alias("b"), F.col("arr").alias("y")), "b")
     linked = both.select("a", "an", "b", "bn", "x", "y").mapInArrow(_exact_rows(percent), PAIR)
-    return materialize(linked.select("a", "b"), name)
+    out = materialize(linked.select("a", "b"), name)
+    drop(pairs)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -296,6 +304,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
     links = materialize(both, "links")
     roots = materialize(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
+    last = roots
     while True:
         near = links.join(roots.select(F.col("node").alias("b"), F.col("root").alias("of_b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("of_b").alias("near"))
         seen = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("new"))
@@ -307,6 +316,8 @@ def components(edges: DataFrame) -> DataFrame:
         after = materialize(after, "round")
         changed = after.where("new <> root").limit(1).count()
         roots = after.select("node", F.col("new").alias("root"))
+        drop(*([last] if changed else [last, links]), sweep=not changed)
+        last = after
         if not changed:
             return roots
 
@@ -319,14 +330,16 @@ HELD_PAIRS = 400_000
 class _Bitmaps:
     """The bitmaps of a batch, folded to the width that a pair has in common."""
 
-    def __init__(self, raw: list[bytes]):
+    def __init__(self, raw: list[bytes], percent: int):
         self.raw = raw
+        #: Sets of a pair have widths that differ by so many times at most.
+        self.ratio = 1 << math.ceil(math.log2(100 / percent))
         self.width = np.array([len(x) // 8 for x in raw])
         self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def at(self, w: int) -> tuple[np.ndarray, np.ndarray]:
         if w not in self.folded:
-            rows = np.flatnonzero(self.width >= w)
+            rows = np.flatnonzero((self.width >= w) & (self.width <= w * self.ratio))
             place = np.zeros(len(self.raw), np.int64)
             place[rows] = np.arange(len(rows))
             out = np.zeros((len(rows), w), np.uint64)
@@ -336,8 +349,9 @@ class _Bitmaps:
             self.folded[w] = place, out
         return self.folded[w]
 
-    def allow(self, p: np.ndarray, q: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-        keep = np.zeros(len(p), bool)
+    def slack(self, p: np.ndarray, q: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+        """By how much the bound on the overlap is above what a link needs; negative where it isn't."""
+        out = np.zeros(len(p), np.int64)
         width = np.minimum(self.width[p], self.width[q])
         for w in np.unique(width):
             some = np.flatnonzero(width == w)
@@ -345,18 +359,40 @@ class _Bitmaps:
             a, b = p[some], q[some]
             for s in range(0, len(some), 1 << 16):
                 x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-                keep[some[s : s + (1 << 16)]] = overlap_bound(bits[place[x]], bits[place[y]], n[x], n[y]) >= need(n[x], n[y], percent)
-        return keep
+                out[some[s : s + (1 << 16)]] = overlap_bound(bits[place[x]], bits[place[y]], n[x], n[y]) - need(n[x], n[y], percent)
+        return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """The places of the pairs that join what those of greater worth have not."""
+    over: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := over.get(x, x)) != x:
+            over[x] = x = over.get(y, y)
+        return x
+
+    keep = []
+    order = np.argsort(-worth, kind="stable")
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            over[x] = y
+            keep.append(k)
+    return np.array(keep, np.int64)
+
 
+def _cell_rows(percent: int, first: bool):
+    """Pairs of different components within a cell that pass size and bitmap bound; rows come sorted by cell.
 
-def _cell_rows(percent: int):
-    """Pairs of different components within a cell that pass size and bitmap bound; rows come sorted by cell."""
+    In the ``first`` round a forest of them, and as rows without b the (token, a) that have any.
+    """
     small = {m: np.triu_indices(m, 1) for m in range(2, SMALL + 1)}
 
     def allowed(rows: pa.Table, begins: list[int]) -> Iterator[pa.RecordBatch]:
-        cls, n, root, block, i, j = (rows.column(x).to_numpy() for x in ("cls", "n", "root", "block", "i", "j"))
+        cls, n, root, block, i, j, token = (rows.column(x).to_numpy() for x in ("cls", "n", "root", "block", "i", "j", "token"))
         n = n.astype(np.int64)
-        maps = _Bitmaps(rows.column("bits").to_pylist())
+        maps = _Bitmaps(rows.column("bits").to_pylist(), percent)
         held_p: list[np.ndarray] = []
         held_q: list[np.ndarray] = []
         held = 0
@@ -365,11 +401,19 @@ def _cell_rows(percent: int):
             p, q = np.concatenate(held_p), np.concatenate(held_q)
             fits = (root[p] != root[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
             p, q = p[fits], q[fits]
-            ok = maps.allow(p, q, n, percent)
-            p, q = p[ok], q[ok]
+            slack = maps.slack(p, q, n, percent)
+            ok = np.flatnonzero(slack >= 0)
+            p, q, slack = p[ok], q[ok], slack[ok]
+            some = np.unique(np.concatenate([p, q])) if first else np.zeros(0, np.int64)
+            if first:
+                best = forest(root[p], root[q], slack / n[p])
+                p, q = p[best], q[best]
             swap = cls[p] > cls[q]
             p, q = np.where(swap, q, p), np.where(swap, p, q)
-            return pa.RecordBatch.from_arrays([pa.array(cls[p]), pa.array(n[p].astype(np.int32)), pa.array(cls[q]), pa.array(n[q].astype(np.int32))], ["a", "an", "b", "bn"])
+            none = pa.nulls(len(some), pa.int64())
+            ends = [pa.array(cls[p]), pa.array(n[p].astype(np.int32)), pa.array(cls[q]), pa.array(n[q].astype(np.int32)), pa.nulls(len(p), pa.int64())]
+            rows_ = [pa.array(cls[some]), pa.array(n[some].astype(np.int32)), none, none.cast(pa.int32()), pa.array(token[some])]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(ends, rows_, strict=True)], ["a", "an", "b", "bn", "token"])
 
         for s, e in zip(begins, begins[1:], strict=False):
             if e - s < 2:
@@ -423,41 +467,76 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
 
 
+def distinct_tiles(tiles: DataFrame) -> DataFrame:
+    """(token, n, cls, of) of the tiles of several classes, one tile of all that have the same; rows (token, n, cls) are distinct."""
+    some = [F.try_sum(F.shiftright(F.xxhash64(F.lit(seed), "cls"), 24)) for seed in (1, 2)]  # null where 2**23 rows overflow
+    sums = tiles.groupBy("token").agg(F.count("*").alias("of"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), *(F.coalesce(x, F.col("token")).alias(f"sum{k}") for k, x in enumerate(some)))
+    one = sums.where("lo <> hi").groupBy("of", "lo", "hi", "sum0", "sum1").agg(F.min("token").alias("token"))
+    return tiles.join(materialize(one.select("token", "of"), "distinct"), "token").select("token", "n", "cls", "of")
+
+
+def _cells(mixed: DataFrame, maps: DataFrame) -> DataFrame:
+    """The rows of mixed tiles by cell (token, i, j).
+
+    Blocks below ``rest`` hold classes outside the largest component of a tile of more than BLOCK, the others that
+    component; a cell has a block of the former on one side.
+    """
+    large = mixed.where(F.col("of") > BLOCK).groupBy("token", "root").agg(F.count("*").alias("held"))
+    main = large.groupBy("token").agg(F.max(F.struct("held", "root")).alias("main")).select("token", F.col("main.held").alias("held"), F.col("main.root").alias("largest"))
+    of = mixed.join(main, "token", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    blocks = [F.ceil(x / float(BLOCK)).cast("int") for x in (F.col("of") - F.col("held"), F.col("held"))]
+    of = of.withColumns({"rest": blocks[0], "upper": blocks[1], "inside": F.coalesce(F.col("root") == F.col("largest"), F.lit(False))})
+    block = F.when(F.col("inside"), F.col("rest") + F.pmod(F.hash("cls"), F.greatest("upper", F.lit(1)))).otherwise(F.pmod(F.hash("cls"), F.greatest("rest", F.lit(1))))
+    others = F.sequence(F.lit(0), F.when(F.col("inside"), F.col("rest")).otherwise(F.col("rest") + F.col("upper")) - 1)
+    dealt = of.withColumn("block", block.cast("int")).withColumn("other", F.explode(others)).join(maps, "cls")
+    cells = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "cls", "root", "bits")
+    return cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+
 def link(tiles: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the classes that links join.
 
-    ``tiles``: written rows (token, n, cls, of), the classes that share a token and how many they are; ``held``: (cls, arr, bits).
+    ``tiles``: written distinct rows (token, n, cls), the classes that share a token; ``held``: (cls, arr), classes repeated or not.
     """
-    by_token = Window.partitionBy("token")
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    maps = held.select("cls", "bits").dropDuplicates(["cls"])
-    open_ = tiles.withColumn("root", F.col("cls"))
-    edges = None
-    for k in range(LEADER_ROUNDS):
-        first = F.struct("n", "cls", "root") if k == 0 else F.struct(F.xxhash64(F.lit(k), "cls").alias("by"), "n", "cls", "root")
-        led = open_.withColumn("lead", F.min(first).over(Window.partitionBy("token", band)))
-        swap = F.col("lead.cls") < F.col("cls")
-        star = led.where(F.col("lead.root") != F.col("root")).select(
-            F.least("lead.cls", "cls").alias("a"), F.when(swap, F.col("lead.n")).otherwise(F.col("n")).alias("an"),
-            F.greatest("lead.cls", "cls").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("lead.n")).alias("bn"),
-        )
-        star = star.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent).distinct()
-        mapped = star.join(maps.select(F.col("cls").alias("a"), F.col("bits").alias("x")), "a").join(maps.select(F.col("cls").alias("b"), F.col("bits").alias("y")), "b")
-        near = mapped.select("a", "an", "b", "bn", "x", "y").mapInArrow(_bound_rows(percent), PAIR)
-        found = _verify(near, held, percent, f"leaders-{k}")
-        edges = found if edges is None else edges.union(found)
-        roots = components(edges).select(F.col("node").alias("cls"), F.col("root").alias("of_cls"))
-        placed = open_.join(roots, "cls", "left").withColumn("root", F.coalesce("of_cls", "cls")).drop("of_cls")
-        open_ = materialize(placed.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo <> hi").drop("lo", "hi"), f"open-{k}")
-
-    mixed = open_.join(maps, "cls")
-    blocks = F.ceil(F.col("of") / float(BLOCK)).cast("int")
-    mixed = mixed.withColumn("block", F.pmod(F.hash("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = mixed.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "cls", "root", "bits")
-    cells = cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    more = cells.mapInArrow(_cell_rows(percent), PAIR).distinct()
-    second = _verify(more, held, percent, "cells")
-    return components(edges.union(second))
+    tiles = materialize(distinct_tiles(tiles).withColumn("root", F.col("cls")), "tiles")
+    maps = _maps(tiles, held, wide=False)
+
+    # leaders of every tile and band of sizes
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int").alias("band")
+    lead = tiles.groupBy("token", band).agg(F.min(F.struct("n", "cls")).alias("lead"))
+    led = tiles.select("token", band, "n", "cls").join(lead, ["token", "band"]).where(F.col("lead.cls") != F.col("cls"))
+    swap = F.col("lead.cls") < F.col("cls")
+    star = led.select(
+        F.least("lead.cls", "cls").alias("a"), F.when(swap, F.col("lead.n")).otherwise(F.col("n")).alias("an"),
+        F.greatest("lead.cls", "cls").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("lead.n")).alias("bn"),
+    )
+    star = star.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent).distinct()
+    mapped = star.join(maps.select(F.col("cls").alias("a"), F.col("bits").alias("x")), "a").join(maps.select(F.col("cls").alias("b"), F.col("bits").alias("y")), "b")
+    edges = _verify(mapped.select("a", "an", "b", "bn", "x", "y").mapInArrow(_bound_rows(percent), PAIR), held, percent, "leaders")
+
+    open_ = _still_open(tiles, edges)
+    drop(tiles)
+    found = materialize(_cells(open_, maps).mapInArrow(_cell_rows(percent, True), PAIR + ", token long"), "forest")
+    edges = edges.union(_verify(found.where("b is not null").drop("token").distinct(), held, percent, "trees"))
+    named_ = found.where("b is null").select("token", F.col("a").alias("cls")).distinct()
+    left = _still_open(open_.join(named_, ["token", "cls"], "left_semi"), edges)
+    drop(open_, found, maps)
+    maps = _maps(left, held, wide=True)
+    more = _cells(left, maps).mapInArrow(_cell_rows(percent, False), PAIR + ", token long").drop("token").distinct()
+    edges = edges.union(_verify(more, held, percent, "cells"))
+    drop(left, maps)
+    return components(edges)
+
+
+def _still_open(tiles: DataFrame, edges: DataFrame) -> DataFrame:
+    """The tiles (token, n, cls, of, root) of several components, with the roots that the edges give."""
+    roots = components(edges)
+    now = tiles.drop("root").join(roots.select(F.col("node").alias("cls"), F.col("root").alias("of_cls")), "cls", "left")
+    placed = materialize(now.withColumn("root", F.coalesce("of_cls", "cls")).drop("of_cls"), "placed")
+    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    out = materialize(placed.join(mixed, "token", "left_semi"), "open")
+    drop(placed)
+    return out
 
 
 def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -478,19 +557,24 @@ def join(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: s
     frequent = spark.sparkContext.broadcast(np.sort(hot.astype(np.uint64)))
 
     held = sets.where(F.col("arr").isNotNull())
-    entries = held.select("n", "cls", "arr").mapInArrow(_entry_rows(frequent, percent), "token long, n int, cls long")
-    by_token = Window.partitionBy("token")
+    entries = held.select("n", "cls", "arr").mapInArrow(_entry_rows(frequent, percent), "token long, salt byte, n int, cls long")
+    # a frequent shingle's rows are dealt by class, too, and counted by the tiles' sums
+    by_token = Window.partitionBy("token", "salt")
     # sorted by class, repeated entries of a class are side by side
-    marked = entries.withColumn("before", F.lag("cls").over(by_token.orderBy("n", "cls"))).where(F.col("before").isNull() | (F.col("before") != F.col("cls")))
-    counted = marked.withColumn("of", F.count("*").over(by_token)).where(F.col("of") > 1)
-    tiles = materialize(counted.select("token", "n", "cls", "of"), "tiles")
-
-    roots = link(tiles, held, percent)
-
-    named = sets.select("doc_id", "rk", "n", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = materialize(named.select("doc_id", "rk", "n", "root"), "named")
-    names = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("name"))
-    out = named.join(names, "root", "left")
+    marked = entries.withColumn("before", F.lag("cls").over(by_token.orderBy("cls"))).where(F.col("before").isNull() | (F.col("before") != F.col("cls")))
+    shared = marked.withColumn("of", F.count("*").over(by_token)).where((F.col("of") > 1) | (F.col("salt") > 0))
+    shared = materialize(shared.select("token", "n", "cls"), "shared")
+    drop(often)
+
+    roots = link(shared, held, percent)
+    drop(shared)
+
+    named_ = sets.select("doc_id", "rk", "n", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named_ = materialize(named_.select("doc_id", "rk", "n", "root"), "named")
+    drop(sets)
+    # written, so that a large component is split between the tasks of the join
+    names = materialize(named_.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("name")), "names")
+    out = named_.join(names, "root", "left")
     return out.select("doc_id", "rk", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), "root")
 
 
@@ -498,10 +582,11 @@ def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_co
     """One row of every component stays, the one with the smallest id; documents without a word all stay."""
     found = join(docs, percent, id_col, text_col).select("doc_id", "rk", "n_shingles", "root")
     linked = found.where(F.col("n_shingles") > 0)
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("rk").alias("k"))).alias("x")
-    keep = linked.groupBy("root").agg(one).select(F.coalesce("x.id", F.lit(-1)).alias("__id"), F.col("x.k").alias("__rk"), F.lit(True).alias("__one"))
-    empty = found.where(F.col("n_shingles") == 0).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("rk").alias("__rk"), F.lit(False).alias("__one")).distinct()
-    rows = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "__rk": row_key(id_col, text_col)})
-    both = rows.join(keep.union(empty), ["__id", "__rk"])
-    same = Window.partitionBy("__id", "__rk").orderBy("__one")
-    return both.withColumn("__copy", F.row_number().over(same)).where(~F.col("__one") | (F.col("__copy") == 1)).select(*docs.columns)
+    key, rk, one, copy = fresh(docs, "key", "rk", "one", "copy")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("rk").alias("k"))).alias("x")
+    keep = linked.groupBy("root").agg(least).select(F.coalesce("x.id", F.lit(-1)).alias(key), F.col("x.k").alias(rk), F.lit(True).alias(one))
+    empty = found.where(F.col("n_shingles") == 0).select(F.coalesce("doc_id", F.lit(-1)).alias(key), F.col("rk").alias(rk), F.lit(False).alias(one)).distinct()
+    rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), rk: row_key(id_col, text_col)})
+    both = rows.join(keep.union(empty), [key, rk])
+    same = Window.partitionBy(key, rk).orderBy(one)
+    return both.withColumn(copy, F.row_number().over(same)).where(~F.col(one) | (F.col(copy) == 1)).select(*named(docs.columns))
