@@ -120,23 +120,23 @@ def test_perfect_hash():
 
 
 def brute_quality(rows):
-    feats, sketches, lines = [], [], []
-    for _, t, host in rows:
+    """Documents of a host that hold a line are counted one by one, documents with the same set of lines once."""
+    feats, sets, lines = [], [], []
+    for _, t, _ in rows:
         w = WORD.findall(t or "")
         windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         rep = {j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
         ls = [x for x in (t or "").split("\n") if WORD.search(x)]
         feats.append((len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(ls) - len(set(ls)), len(rep)))
-        norm = [re.sub("[0-9]+", "0", x.strip(" \t\n\x0b\x0c\r").translate(LOWER)) for x in ls]
-        hashes = [(int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "big", signed=True), len(WORD.findall(x))) for x in norm]
-        lines.append(hashes)
-        sketches.append(min(h for h, _ in hashes) if hashes else None)
+        norm = [(re.sub("[0-9]+", "0", x.strip(" \t\n\x0b\x0c\r").translate(LOWER)), len(WORD.findall(x))) for x in ls]
+        lines.append(norm)
+        sets.append(frozenset(x for x, _ in norm))
     held, hosts = {}, {}
-    for (_, _, host), s, hs in zip(rows, sketches, lines):
-        for h, _ in hs:
-            held.setdefault((host, h), set()).add(s)
-        if s is not None:
+    for (_, _, host), s in zip(rows, sets):
+        if s:
             hosts.setdefault(host, set()).add(s)
+        for x in s:
+            held.setdefault((host, x), set()).add(s)
     out = []
     for (d, _, host), f, hs in zip(rows, feats, lines):
         gone = sum(n for h, n in hs if len(held[host, h]) > quality.MAX_DOCS and len(held[host, h]) > quality.MAX_SHARE * len(hosts[host]))
@@ -158,3 +158,21 @@ def test_keep_good(edge):
     kept = quality.keep_good(edge)
     assert kept.columns == edge.columns
     assert kept.count() == quality.judge(edge).where("kept").count()
+
+
+def test_line_counts(spark, small):
+    """The index answers for every line, frequent or not, and for none else."""
+    index = line_dedup.build_index(small, 10)
+    keys = [{k for k in (x.strip(" \t\n\x0b\x0c\r").translate(LOWER) for x in (r.text or "").split("\n")) if k} for r in small.collect()]
+    held = Counter(k for ks in keys for k in ks)
+    rows = [(k, n) for k, n in held.items()] + [("not a line of any document", 0)]
+    lines = spark.createDataFrame(rows, "line string, n_true long")
+    assert line_dedup.line_counts(lines, index).where("n_docs <> n_true").count() == 0
+    assert min(held.values()) == 1 and max(held.values()) >= 10
+
+
+@pytest.mark.parametrize("probes", [0, 1 << 30])
+def test_lines_whatever_a_task_holds(small, monkeypatch, probes):
+    rows = [(r.doc_id, r.text) for r in small.collect()]
+    monkeypatch.setattr(line_dedup, "PROBES", probes)
+    assert Counter(tuple(r) for r in line_dedup.line_digests(small).collect()) == brute_lines(rows)
