@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwise.llm import jaccard, line_dedup, mixing, packing, quality
-from lagwise.llm.common import scratch_path
+from lagwise.llm.common import fresh, named, scratch_path
 from lagwise.llm.queries import documents, tokenizer_path
 
 
@@ -17,10 +17,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document loses the lines that ten or more hold; n_chars follows the text."""
-    out = line_dedup.drop_lines(docs)
-    chars = F.length("kept_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    changed = {"text": F.col("kept_text")} | ({"n_chars": F.when(F.col("n_dropped") > 0, chars).otherwise(F.col("n_chars"))} if chars is not None else {})
-    return out.withColumns(changed).select(*docs.columns)
+    lines, dropped, kept = fresh(docs, *line_dedup.ADDED)
+    out = line_dedup.drop_lines(docs, added=(lines, dropped, kept))
+    changed = {"text": F.col(kept)}
+    if "n_chars" in docs.columns:
+        chars = F.length(kept).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col(dropped) > 0, chars).otherwise(F.col("n_chars"))
+    return out.select(*(changed[c].alias(c) if c in changed else column for c, column in zip(docs.columns, named(docs.columns), strict=True)))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +33,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, once or more."""
-    return mixing.emit(mixing.mix(docs, mixing.word_count(F.col("text")))).select(*docs.columns)
+    return mixing.sample(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
