@@ -15,6 +15,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,18 @@ def release() -> None:
             return
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, tables are written with so many rows in an Arrow batch: rows that may be wide then don't meet by the ten thousand."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of ``docs`` has."""
     taken, out = {c.lower() for c in docs.columns}, []

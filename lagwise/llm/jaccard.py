@@ -8,12 +8,12 @@
    of either in any fixed order.  The order has frequent shingles last (their number
    is bounded by FREQUENT), then goes by hash.  Classes with a prefix shingle in
    common, and of sizes that t allows, form a tile.
-   Tiles of the same classes are one tile, told by count, extremes and two sums of
-   hashes of their classes: texts that share a passage share tens of shingles.
-3. Links by leaders.  In each tile and band of sizes every class is held against the
-   smallest of them: a pair a row, not a pair a pair.  Bit counts of hashed bitmaps
-   bound the overlap from above; the pairs left are verified on the sorted arrays.
-   Their components are joined, and tiles in one component need no more.
+   Tiles of the same classes are one tile, told by count and two sums of hashes of
+   their classes: texts that share a passage share tens of shingles.
+3. Links by leaders.  In each tile of more than LEAD and band of sizes every class is
+   held against the smallest of them: a pair a row, not a pair a pair.  Bit counts of
+   hashed bitmaps bound the overlap from above; the pairs left are verified on the
+   sorted arrays.  Their components are joined, and tiles in one component need no more.
 4. What is left is cut to cells of bounded size (blocks against blocks; of a large tile
    the largest component isn't held against itself).  Within a cell pairs of different
    components that pass size and bitmap bound are candidates.  A first round names the
@@ -45,16 +45,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blobs, claim, drop, fresh, materialize, mix64, named, slices
+from .common import batch_rows, blobs, claim, drop, fresh, materialize, mix64, named, slices
 from .words import N, Texts
 
 #: Shingles that may count as frequent: their table goes to all tasks, 8 bytes each.
 FREQUENT = 1 << 19
 LOCAL = 2
+#: Pairs of arrays handed to a worker at a time.
+PAIR_ROWS = 256
 #: Parts that a frequent shingle's rows are dealt to.
 SALTS = 63
-#: Classes in a block of a cell.
+#: Classes in a block of a cell; tiles of more than LEAD have leaders first.
 BLOCK = 2048
+LEAD = 2048
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -274,7 +277,7 @@ def _maps(classes: DataFrame, held: DataFrame, wide: bool) -> DataFrame:
 
 def _needed(classes: DataFrame, sets: DataFrame, shape: Callable[[pa.RecordBatch], pa.RecordBatch] = lambda batch: batch, schema: str = "cls long, arr binary") -> DataFrame:
     """The arrays of these classes (cls), and of a few more, or what ``shape`` makes of them."""
-    wanted = class_filter(classes)
+    wanted = class_filter(classes, 64)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,14 +286,20 @@ def _needed(classes: DataFrame, sets: DataFrame, shape: Callable[[pa.RecordBatch
     return sets.where(F.col("arr").isNotNull()).select("cls", "arr").mapInArrow(keep, schema).dropDuplicates(["cls"])
 
 
+def _merged(table: DataFrame, key: str, value: str) -> DataFrame:
+    """Bitmaps or arrays by class, under these names; they grow with the corpus, so they are merged and not broadcast, at any size."""
+    return table.toDF(key, value).hint("merge")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs that link, as a written table (a, b)."""
     pairs = materialize(pairs, f"{name}-candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
     arrays = _needed(ends, sets)  # dealt by class once, for both joins
-    both = pairs.join(arrays.select(F.col("cls").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("cls").alias("b"), F.col("arr").alias("y")), "b")
+    both = pairs.join(_merged(arrays, "a", "x"), "a").join(_merged(arrays, "b", "y"), "b")
     linked = both.select("a", "an", "b", "bn", "x", "y").mapInArrow(_exact_rows(percent), PAIR)
-    out = materialize(linked.select("a", "b"), name)
+    with batch_rows(pairs.sparkSession, PAIR_ROWS):
+        out = materialize(linked.select("a", "b"), name)
     drop(pairs)
     return out
 
@@ -470,8 +479,8 @@ def row_key(id_col: str, text_col: str) -> Column:
 def distinct_tiles(tiles: DataFrame) -> DataFrame:
     """(token, n, cls, of) of the tiles of several classes, one tile of all that have the same; rows (token, n, cls) are distinct."""
     some = [F.try_sum(F.shiftright(F.xxhash64(F.lit(seed), "cls"), 24)) for seed in (1, 2)]  # null where 2**23 rows overflow
-    sums = tiles.groupBy("token").agg(F.count("*").alias("of"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), *(F.coalesce(x, F.col("token")).alias(f"sum{k}") for k, x in enumerate(some)))
-    one = sums.where("lo <> hi").groupBy("of", "lo", "hi", "sum0", "sum1").agg(F.min("token").alias("token"))
+    sums = tiles.groupBy("token").agg(F.count("*").alias("of"), *(F.coalesce(x, F.col("token")).alias(f"sum{k}") for k, x in enumerate(some)))
+    one = sums.where("of > 1").groupBy("of", "sum0", "sum1").agg(F.min("token").alias("token"))
     return tiles.join(materialize(one.select("token", "of"), "distinct"), "token").select("token", "n", "cls", "of")
 
 
@@ -488,7 +497,7 @@ def _cells(mixed: DataFrame, maps: DataFrame) -> DataFrame:
     of = of.withColumns({"rest": blocks[0], "upper": blocks[1], "inside": F.coalesce(F.col("root") == F.col("largest"), F.lit(False))})
     block = F.when(F.col("inside"), F.col("rest") + F.pmod(F.hash("cls"), F.greatest("upper", F.lit(1)))).otherwise(F.pmod(F.hash("cls"), F.greatest("rest", F.lit(1))))
     others = F.sequence(F.lit(0), F.when(F.col("inside"), F.col("rest")).otherwise(F.col("rest") + F.col("upper")) - 1)
-    dealt = of.withColumn("block", block.cast("int")).withColumn("other", F.explode(others)).join(maps, "cls")
+    dealt = of.withColumn("block", block.cast("int")).withColumn("other", F.explode(others)).join(_merged(maps, "cls", "bits"), "cls")
     cells = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "cls", "root", "bits")
     return cells.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
@@ -501,26 +510,30 @@ def link(tiles: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     tiles = materialize(distinct_tiles(tiles).withColumn("root", F.col("cls")), "tiles")
     maps = _maps(tiles, held, wide=False)
 
-    # leaders of every tile and band of sizes
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int").alias("band")
-    lead = tiles.groupBy("token", band).agg(F.min(F.struct("n", "cls")).alias("lead"))
-    led = tiles.select("token", band, "n", "cls").join(lead, ["token", "band"]).where(F.col("lead.cls") != F.col("cls"))
-    swap = F.col("lead.cls") < F.col("cls")
-    star = led.select(
-        F.least("lead.cls", "cls").alias("a"), F.when(swap, F.col("lead.n")).otherwise(F.col("n")).alias("an"),
-        F.greatest("lead.cls", "cls").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("lead.n")).alias("bn"),
-    )
-    star = star.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent).distinct()
-    mapped = star.join(maps.select(F.col("cls").alias("a"), F.col("bits").alias("x")), "a").join(maps.select(F.col("cls").alias("b"), F.col("bits").alias("y")), "b")
-    edges = _verify(mapped.select("a", "an", "b", "bn", "x", "y").mapInArrow(_bound_rows(percent), PAIR), held, percent, "leaders")
-
-    open_ = _still_open(tiles, edges)
-    drop(tiles)
+    open_, edges = tiles, None
+    large = tiles.where(F.col("of") > LEAD)
+    if not large.isEmpty():  # leaders of every large tile and band of sizes
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int").alias("band")
+        lead = large.groupBy("token", band).agg(F.min(F.struct("n", "cls")).alias("lead"))
+        led = large.select("token", band, "n", "cls").join(lead, ["token", "band"]).where(F.col("lead.cls") != F.col("cls"))
+        swap = F.col("lead.cls") < F.col("cls")
+        star = led.select(
+            F.least("lead.cls", "cls").alias("a"), F.when(swap, F.col("lead.n")).otherwise(F.col("n")).alias("an"),
+            F.greatest("lead.cls", "cls").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("lead.n")).alias("bn"),
+        )
+        star = star.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent).distinct()
+        mapped = star.join(_merged(maps, "a", "x"), "a").join(_merged(maps, "b", "y"), "b")
+        edges = _verify(mapped.select("a", "an", "b", "bn", "x", "y").mapInArrow(_bound_rows(percent), PAIR), held, percent, "leaders")
+        open_ = _still_open(tiles, edges)
+        drop(tiles)
     found = materialize(_cells(open_, maps).mapInArrow(_cell_rows(percent, True), PAIR + ", token long"), "forest")
-    edges = edges.union(_verify(found.where("b is not null").drop("token").distinct(), held, percent, "trees"))
+    trees = _verify(found.where("b is not null").drop("token").distinct(), held, percent, "trees")
+    edges = trees if edges is None else edges.union(trees)
     named_ = found.where("b is null").select("token", F.col("a").alias("cls")).distinct()
-    left = _still_open(open_.join(named_, ["token", "cls"], "left_semi"), edges)
-    drop(open_, found, maps)
+    # fewer classes stand in each tile now, and more tiles have the same
+    again = materialize(open_.select("token", "n", "cls").join(named_, ["token", "cls"], "left_semi"), "named")
+    left = _still_open(distinct_tiles(again).withColumn("root", F.col("cls")), edges)
+    drop(open_, found, maps, again)
     maps = _maps(left, held, wide=True)
     more = _cells(left, maps).mapInArrow(_cell_rows(percent, False), PAIR + ", token long").drop("token").distinct()
     edges = edges.union(_verify(more, held, percent, "cells"))
