@@ -419,7 +419,7 @@ def test_study_and_verdicts(spark, tmp_path):
     o = pipeline.Orchestrator()
     decisions = pipeline.materialize(o.run(panel), "decisions")
     rows = decisions.collect()
-    assert len(rows) == 12 and all(not r.accepted and "degree" in r.reasons for r in rows if r.curvature == "f_plain")
+    assert len(rows) == 12 and all(not r.accepted and ("degree" in r.reasons or r.edges < 20) for r in rows if r.curvature == "f_plain")
     text = o.report(decisions, str(tmp_path / "report"))
     assert text.count("\n") == 16 and "Proposed 12 candidates" in text
     with pytest.raises(ValueError):
