@@ -334,6 +334,8 @@ def components(edges: DataFrame) -> DataFrame:
 #: Tiles up to this size have their pairs listed at once; pairs held before their bounds are taken.
 SMALL = 64
 HELD_PAIRS = 400_000
+#: Words of bitmaps that are held against each other at a time.
+HELD_WORDS = 1 << 19
 
 
 class _Bitmaps:
@@ -366,9 +368,10 @@ class _Bitmaps:
             some = np.flatnonzero(width == w)
             place, bits = self.at(int(w))
             a, b = p[some], q[some]
-            for s in range(0, len(some), 1 << 16):
-                x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-                out[some[s : s + (1 << 16)]] = overlap_bound(bits[place[x]], bits[place[y]], n[x], n[y]) - need(n[x], n[y], percent)
+            step = max(64, HELD_WORDS // int(w))
+            for s in range(0, len(some), step):
+                x, y = a[s : s + step], b[s : s + step]
+                out[some[s : s + step]] = overlap_bound(bits[place[x]], bits[place[y]], n[x], n[y]) - need(n[x], n[y], percent)
         return out
 
 
