@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialize
+from .common import materialize, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Texts encoded at a time, in characters; longer texts go alone.
-STEP_CHARS = 4_000_000
+#: Texts encoded at a time, in bytes; longer texts go alone.
+STEP_BYTES = 2_000_000
 
 
 def token_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list, list[bytes], np.dtype]]:
@@ -45,18 +45,8 @@ def token_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Ite
         return keys, [x + end for x in ids], dtype
 
     for batch in batches:
-        keys: list = []
-        texts: list[str] = []
-        size = 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys.append(key)
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size >= STEP_CHARS:
-                yield flush(keys, texts)
-                keys, texts, size = [], [], 0
-        if keys:
-            yield flush(keys, texts)
+        for part in slices(batch, 1, rows=2000, size=STEP_BYTES):
+            yield flush(part.column(0).to_pylist(), [text or "" for text in part.column(1).to_pylist()])
 
 
 def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
